@@ -52,6 +52,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, survives executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets the cleaner drop shuffle files of what is now written
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

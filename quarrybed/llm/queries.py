@@ -5,10 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_documents
 from .chat import format_chats
 from .exact_dedup import exact_dedup
+from .media import media_columns, media_digests
 from .packing import pack_documents
 from .simhash import simhash_dedup
+from .suffix_dedup import suffix_dedup
 from .url_filter import filter_urls, rules_table
 
 URL_RULES = [
@@ -28,10 +31,22 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_documents(spark, sf_dir))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_documents(spark, sf_dir))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(media_columns(_documents(spark, sf_dir)))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules_table(spark, URL_RULES))
 
@@ -45,7 +60,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op1_exact_dedup, op3_simhash, op6_url_filter, op7_packing, op8_chat)
+    named = (op1_exact_dedup, op2_suffix_dedup, op3_simhash, op4_media, op5_bpe, op6_url_filter, op7_packing, op8_chat)
     return {f.__name__: f for f in named}
 
 
