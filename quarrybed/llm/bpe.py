@@ -10,10 +10,11 @@ which happens within the length of the longest token. States are made when first
 
 from __future__ import annotations
 
+import array
 import base64
 import gc
 import hashlib
-from itertools import chain
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,14 @@ _BYTE = [bytes((k,)) for k in range(256)]
 
 class State:
     """``tokens[k - 1]`` is the last token of the tail's prefix of length k, and ``chains[k]`` has
-    the bits of the places where the tokens of that prefix end; 0 where no token can begin."""
+    the bits of the places where the tokens of that prefix end. ``alive`` has the places where a
+    token that covers the rest of the tail and more may begin."""
 
-    __slots__ = ("base", "tail", "tokens", "chains", "next", "final")
+    __slots__ = ("base", "tail", "tokens", "chains", "alive", "next", "final")
 
-    def __init__(self, base: int, tail: bytes, tokens: list, chains: list):
+    def __init__(self, base: int, tail: bytes, tokens: list, chains: list, alive: list):
         self.base, self.tail = base, tail  # last token emitted (-1: none), bytes read since
-        self.tokens, self.chains = tokens, chains
+        self.tokens, self.chains, self.alive = tokens, chains, alive
         self.next: dict[int, tuple] | None = None  # most states end a rare piece and lead nowhere
         self.final: tuple | None = None
 
@@ -55,12 +57,13 @@ class Transducer:
             self.token[r] = t
         self.starts = {t[:k] for t in ranks for k in range(len(t))}  # proper prefixes: bytes that a token may go on from
         self.pairs: dict[int, bool] = {}
-        self.reset()
+        self.forget()
 
-    def reset(self) -> None:
+    def forget(self) -> None:
+        """Drop the states made so far; they are made again when reached."""
         self.shared: dict[tuple[int, bytes], State] = {}  # states after a token was emitted
         self.states = 1
-        self.start = State(-1, b"", [], [1])
+        self.start = State(-1, b"", [], [1], [0])
 
     def merged(self, data: bytes) -> list[int]:
         """Plain merging of lowest ranks first, for short strings."""
@@ -94,37 +97,30 @@ class Transducer:
         elif (made := state.next.get(byte)) is not None:
             return made
         tail, tokens, chains = state.tail + _BYTE[byte], state.tokens, state.chains
-        n, ranks, starts, token, chain_n = len(tail), self.ranks, self.starts, None, 0
-        common = -1
-        for at in range(n):
-            through = chains[at]
-            if not through:
-                continue
+        n, ranks, starts, token, chain_n, alive, common = len(tail), self.ranks, self.starts, None, 0, [], -1
+        for at in state.alive:
             rest = tail[at:]
-            if token is None:
-                token = ranks.get(rest)
-                if token is not None:
-                    before = tokens[at - 1] if at else state.base
-                    if before < 0 or self.follows(before, token):
-                        chain_n = through | 1 << n
-                    else:
-                        token = None
+            if token is None and (token := ranks.get(rest)) is not None:
+                before = tokens[at - 1] if at else state.base
+                if before < 0 or self.follows(before, token):
+                    chain_n = chains[at] | 1 << n
+                else:
+                    token = None
             if rest in starts:  # a longer text may still put a token here
-                common &= through
-        common &= chain_n
-        cut = common.bit_length() - 1
+                common &= chains[at]
+                alive.append(at)
+        alive.append(n)
+        cut = (common & chain_n).bit_length() - 1
         tokens, chains = [*tokens, token], [*chains, chain_n]
+        self.states += 1
         if not cut:
-            to = State(state.base, tail, tokens, chains)
-            self.states += 1
-            made = state.next[byte] = (to, ())
+            made = state.next[byte] = (State(state.base, tail, tokens, chains, alive), ())
             return made
         out = self._path(tokens, chains[cut])
         key = (out[-1], tail[cut:])
         to = self.shared.get(key)
         if to is None:
-            to = self.shared[key] = State(out[-1], tail[cut:], tokens[cut:], [c >> cut if c >> cut & 1 else 0 for c in chains[cut:]])
-            self.states += 1
+            to = self.shared[key] = State(out[-1], tail[cut:], tokens[cut:], [c >> cut for c in chains[cut:]], [at - cut for at in alive])
         made = state.next[byte] = (to, out)
         return made
 
@@ -142,7 +138,7 @@ class Transducer:
     def run(self, data: bytes) -> tuple:
         """Tokens of one piece of text."""
         if self.states >= self.limit:
-            self.reset()
+            self.forget()
         state, out = self.start, ()
         for byte in data:
             made = state.next.get(byte) if state.next else None
@@ -153,32 +149,41 @@ class Transducer:
 
 
 class Encoder(dict):
-    """Tokens by piece: the transducer's outputs, remembered in two generations of bounded size."""
+    """Tokens by piece, packed as little-endian 32-bit integers: the transducer's outputs,
+    remembered in two generations of bounded size."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 200_000):
         super().__init__()
         self.fst, self.limit, self.old = Transducer(ranks), limit, {}
         self.find = regex.compile(pattern).findall
 
-    def __missing__(self, piece: str) -> tuple:
+    def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            if len(piece) > 256:
-                parts: list[int] = []
-                state = self.fst.start
-                for byte in piece.encode():
-                    state, out = self.fst.step(state, byte)
-                    parts += out
-                return (*parts, *self.fst.finish(state))
-            ids = self.fst.run(piece.encode())
+            data = piece.encode()
+            if len(data) > 256:
+                return self.long(data)
+            out = self.fst.run(data)
+            ids = struct.pack(f"<{len(out)}I", *out)
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[piece] = ids
         return ids
 
+    def long(self, data: bytes) -> bytes:
+        """A long piece, its tokens put out as they come."""
+        parts, state = array.array("I"), self.fst.start
+        for byte in data:
+            state, out = self.fst.step(state, byte)
+            parts.extend(out)
+            if self.fst.states >= self.fst.limit:
+                self.fst.forget()
+        parts.extend(self.fst.finish(state))
+        return np.array(parts, "<u4").tobytes()
+
     def encode(self, text: str) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, self.find(text))), np.uint32)
+        return np.frombuffer(b"".join(map(self.__getitem__, self.find(text))), "<u4")
 
 
 class Utf8Stream:
@@ -249,7 +254,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
             for text in b.column(1).to_pylist():
                 ids = enc.encode(text)
                 counts.append(len(ids))
-                sums.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                sums.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 seen, whole = hashlib.sha256(), []
                 for part in decode(ids, token):
                     seen.update(part.encode())

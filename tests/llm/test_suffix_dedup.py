@@ -83,7 +83,7 @@ def test_suffix_sort_orders_suffixes():
 def test_edges(spark):
     kind = "doc_id long, text string, doc string, tie int, spans int"
     assert sd.suffix_dedup(spark.createDataFrame([], kind)).count() == 0
-    text = "".join(random.Random(9).choice("abcdefghijkl ") for _ in range(150))
+    text = "".join(random.Random(9).choices("abcdefghijkl ", k=150))
     rows = [(5, text, "x", 1, 1), (5, text, "x", 1, 1), (None, None, None, None, None), (7, text, "", 2, 2), (8, "", "", 0, 0)]
     got = {(r[0], r[1], r[2]) for r in sd.suffix_dedup(spark.createDataFrame(rows, kind)).collect()}
     assert got == {(5, 150, 0), (None, 0, 0), (7, 150, 150), (8, 0, 0)}
