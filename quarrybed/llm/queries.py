@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import language_id, quality
 from .bpe import encode_documents
 from .chat import format_chats
 from .exact_dedup import exact_dedup
@@ -59,8 +60,18 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return language_id.identify(docs, language_id.fit(docs))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def queries() -> dict:
-    named = (op1_exact_dedup, op2_suffix_dedup, op3_simhash, op4_media, op5_bpe, op6_url_filter, op7_packing, op8_chat)
+    named = (op1_exact_dedup, op2_suffix_dedup, op3_simhash, op4_media, op5_bpe, op6_url_filter, op7_packing, op8_chat, op9_language_id, op10_quality)
     return {f.__name__: f for f in named}
 
 
