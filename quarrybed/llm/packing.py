@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import struct
 import zlib
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,9 @@ BYTE_CHARS = {ord(c): "".join(_BYTE_CHAR[b] for b in c.encode()) for c in _SMALL
 
 
 class WordMemo(dict):
-    """Ids by chunk of text between spaces, kept in two generations so that its size is bounded.
+    """Ids by chunk of text between spaces, as packed little-endian 32-bit integers.
+
+    Kept in two generations, so that its size is bounded.
 
     The tokenizer's splits never cross white space, and a trailing comma or full stop after a
     letter is a piece of its own, so a chunk's ids are those of its parts.
@@ -43,34 +46,38 @@ class WordMemo(dict):
     def plain(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def __missing__(self, chunk: str) -> tuple:
+    @staticmethod
+    def pack(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
             if len(chunk) > 64:
-                return tuple(self.plain(chunk))
+                return self.pack(self.plain(chunk))
             if len(chunk) > 1 and chunk[-1] in ",." and chunk[-2].isalpha():
                 ids = self[chunk[:-1]] + self[chunk[-1]]
-            elif chunk.isalpha() and chunk.translate(LATIN_SMALL).isascii():
-                ids = tuple([t.id for t in self.split(chunk.translate(BYTE_CHARS))])  # one piece already normalised
+            elif chunk.isalpha() and (chunk.isascii() or chunk.translate(LATIN_SMALL).isascii()):
+                ids = self.pack([t.id for t in self.split(chunk.translate(BYTE_CHARS))])  # one piece already normalised
             else:
-                ids = tuple(self.plain(chunk)) if chunk else ()
+                ids = self.pack(self.plain(chunk)) if chunk else b""
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[chunk] = ids
         return ids
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text, as the tokenizer gives them without special tokens."""
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text, as the tokenizer gives them without special tokens, packed."""
         if "<|" in text:  # a special token's own spelling: the tokenizer finds those before it lower-cases
-            return np.array(self.plain(text), np.uint32)
+            return self.pack(self.plain(text))
         try:
             text.encode("latin-1")
             low = text.lower()
         except UnicodeEncodeError:
             low = text.encode().lower().decode()
         low = low.replace("\n", " ").replace("\t", " ")
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, low.split(" "))), np.uint32)
+        return b"".join(map(self.__getitem__, low.split(" ")))
 
 
 _MEMOS: dict[str, WordMemo] = {}
@@ -89,14 +96,16 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
     def run(batches):
-        words = memo(tokenizer)
+        gc.disable()  # the memo holds no cycles
+        words, last = memo(tokenizer), WordMemo.pack([end_id])
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.append(words.encode(text), np.uint32(end_id)).astype("<u4")
-                for at in range(0, len(ids), window):
-                    piece = ids[at : at + window]
-                    for column, value in zip(out, (key, at, len(piece), zlib.crc32(piece.tobytes()), len(ids))):
+                ids = words.encode(text) + last
+                n = len(ids) // 4
+                for at in range(0, n, window):
+                    piece = ids[4 * at : 4 * (at + window)]
+                    for column, value in zip(out, (key, at, len(piece) // 4, zlib.crc32(piece), n)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
