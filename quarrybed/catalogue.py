@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -24,28 +23,15 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def _load() -> None:
+    from .plans import queries as _  # noqa: F401  registers them
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
-
-
-@query(
-    "idx_fanout",
-    """
-    WITH ids AS (SELECT DISTINCT sha1('blob ' || strlen(text)::VARCHAR || chr(0) || text) AS oid FROM documents),
-    slots AS (SELECT range AS slot FROM range(256)),
-    counts AS (SELECT ('0x' || left(oid, 2))::INTEGER AS slot, count(*) AS n FROM ids GROUP BY 1)
-    SELECT slot::INTEGER AS slot, coalesce(n, 0)::BIGINT AS n,
-           (sum(coalesce(n, 0)) OVER (ORDER BY slot ROWS UNBOUNDED PRECEDING))::BIGINT AS total
-    FROM slots LEFT JOIN counts USING (slot)
-    """,
-)
-def idx_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .functions.identity import object_id
-    from .operators.aggregates import fan_out
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return fan_out(docs.select(object_id("blob", F.col("text").cast("binary")).alias("oid")).distinct())
