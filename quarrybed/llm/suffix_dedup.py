@@ -28,7 +28,7 @@ LENGTH, GRAM = 100, 32
 HOT = 20_000
 #: Such grams at most: a bound on what is sent to every task (8 bytes each).
 MAX_HOT = 100_000
-FLUSH, BATCH = 1_000_000, 1 << 20
+FLUSH, BATCH = 300_000, 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
@@ -437,7 +437,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Spans (doc, tie, start, end) of bytes covered by windows that start earlier."""
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = partitions(spark)
+    tasks = 2 * partitions(spark)
+    buckets = 4 * tasks  # several a task, so that tasks get about as much each
     keyed = _keyed(docs, id_col, text_col)
     hot_keys = hot_grams(keyed, length, gram, hot)
     span_kind = "doc long, tie long, start long, end long"
@@ -502,7 +503,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part), np.int32)), pa.array(part["doc"]), pa.array(part["tie"].astype(np.int64)), pa.array(part["pos"]), pa.array(part["nw"].astype(np.int64)), pa.array(part["at"].astype(np.int64)), pa.array(part["key"].astype(np.int64))], ["kind", "doc", "tie", "start", "end", "at", "key"])
 
-    dealt = keyed.select("doc", "tie", "t").mapInArrow(scan, "bucket int, kind int, blob binary").repartition(buckets, "bucket")
+    dealt = keyed.select("doc", "tie", "t").mapInArrow(scan, "bucket int, kind int, blob binary").repartition(tasks, "bucket")
     met = written(dealt.mapInArrow(gather, f"kind int, {span_kind}, at long, key long"), "contexts")
     asked = met.where("kind = 0").groupBy("doc", "tie").agg(F.collect_list(F.struct(F.col("start").alias("pos"), F.col("end").alias("nw"), "at", "key")).alias("asked"))
 
@@ -560,7 +561,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             i = j
 
     cut = keyed.join(asked, ["doc", "tie"]).select("doc", "tie", "t", "asked").mapInArrow(fetch, "bucket int, blob binary, text binary")
-    sorted_spans = written(cut.repartition(buckets, "bucket").mapInArrow(sort, span_kind), "spans")
+    sorted_spans = written(cut.repartition(tasks, "bucket").mapInArrow(sort, span_kind), "spans")
     return met.where("kind = 1").select("doc", "tie", "start", "end").unionByName(sorted_spans)
 
 
