@@ -146,7 +146,7 @@ class LineField:
         f, b = self.messages(doc, x @ self.w)
         return 1 / (1 + np.exp(-np.clip(f + b, -40, 40)))
 
-    def fit(self, doc: np.ndarray, x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.3, ridge: float = 3e-5) -> LineField:
+    def fit(self, doc: np.ndarray, x: np.ndarray, y: np.ndarray, rounds: int = 240, rate: float = 0.3, ridge: float = 3e-5) -> LineField:
         """Conditional likelihood of the lines' labels, by Adam over the whole sample."""
         x = x.astype(np.float64)
         pair = np.flatnonzero(doc[1:] == doc[:-1])
