@@ -5,7 +5,8 @@ encoding of the pair's bytes. So each prefix of a piece of text has one last tok
 from the prefixes before it, and the encoding of any prefix is a chain of last tokens. The
 transducer reads bytes; its state is the last token it has emitted and the bytes since. It
 emits a token once every chain that a longer text could still extend passes through it,
-which happens within the length of the longest token. States are made when first reached.
+which happens within the length of the longest token. States are made lazily, when they
+are needed again.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ class Transducer:
         """(next state, tokens emitted) on a byte; made once, then looked up."""
         if state.next is None:
             state.next = {}
-        elif (made := state.next.get(byte)) is not None:
+        elif made := state.next.get(byte):
             return made
         tail, tokens, chains = state.tail + _BYTE[byte], state.tokens, state.chains
         n, ranks, starts, token, chain_n, alive, common = len(tail), self.ranks, self.starts, None, 0, [], -1
@@ -136,17 +137,56 @@ class Transducer:
         return state.final
 
     def run(self, data: bytes) -> tuple:
-        """Tokens of one piece of text."""
+        """Tokens of one piece of text.
+
+        A move is compiled when it is made for the second time; before, the rest of the piece
+        is read with the same rules and without making states, as most moves never recur.
+        """
         if self.states >= self.limit:
             self.forget()
         state, out = self.start, ()
-        for byte in data:
-            made = state.next.get(byte) if state.next else None
-            state, new = made or self.step(state, byte)
-            if new:
-                out += new
+        for k, byte in enumerate(data):
+            moves = state.next
+            if moves is None:
+                moves = state.next = {}
+            made = moves.get(byte)
+            if made is None:
+                moves[byte] = False
+                return out + self.rest(state, data[k:])
+            if made is False:
+                del moves[byte]
+                made = self.step(state, byte)
+            state = made[0]
+            if made[1]:
+                out += made[1]
         return out + self.finish(state)
 
+    def rest(self, state: State, data: bytes) -> tuple:
+        """Tokens of what a state holds and the bytes that end the piece, without making states."""
+        ranks, starts, base, alive = self.ranks, self.starts, state.base, state.alive
+        n, text, tokens = len(state.tail), state.tail + data, state.tokens[:]
+        begins = [(c ^ 1 << k).bit_length() - 1 for k, c in enumerate(state.chains)][1:]
+        for n in range(n + 1, len(text) + 1):
+            still, token = [], None
+            for at in alive:
+                rest = text[at:n]
+                if token is None and (found := ranks.get(rest)) is not None:
+                    before = tokens[at - 1] if at else base
+                    if before < 0 or self.follows(before, found):
+                        token = found
+                        begins.append(at)
+                if rest in starts:
+                    still.append(at)
+            still.append(n)
+            tokens.append(token)
+            alive = still
+        out, at = [], len(text)
+        while at:
+            out.append(tokens[at - 1])
+            at = begins[at - 1]
+        out.reverse()
+        return tuple(out)
+
 
 class Encoder(dict):
     """Tokens by piece, packed as little-endian 32-bit integers: the transducer's outputs,

@@ -2,58 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MADE: list = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset (tests in one process), a temporary folder is set; on a cluster
-    of several hosts a machine-local folder would lose data, so that is refused.
-    """
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarrybed-"))
-    return sc.getCheckpointDir().rstrip("/")
-
+from ..storage import fresh_path, shared_folder
+from ..storage import written as _written
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _MADE:
-        atexit.register(_remove_made)
-    _MADE.append((spark, path))
-    return path
-
-
-def _remove_made() -> None:
-    for spark, path in _MADE:
-        try:
-            jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-        except Exception:  # noqa: BLE001  the session has ended; the folder's owner cleans up
-            return
+__all__ = ["fresh_path", "partitions", "shared_folder", "slices", "small_batches", "text_or_empty", "utf8_buffers", "written"]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, survives executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    out = _written(df, name)
     df.sparkSession.sparkContext._jvm.System.gc()  # lets the cleaner drop shuffle files of what is now written
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
@@ -89,10 +53,6 @@ def slices(offsets: np.ndarray, limit: int):
         i = j
 
 
-def to_table(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
-
-
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bound the rows of an Arrow batch, so that a batch of long texts stays in memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -82,7 +82,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owned = owned.withColumn("link", F.row_number().over(Window.partitionBy("bucket", "h").orderBy("sha")))
     path = fresh_path(spark, "index")
     owned.select("h", "link", "sha", "keep_id", "group_size", "bucket").write.partitionBy("bucket").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema("h long, link int, sha binary, keep_id " + owned.schema["keep_id"].dataType.simpleString() + ", group_size long, bucket int").parquet(path)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 65536, max_depth: int = 20) -> DataFrame:

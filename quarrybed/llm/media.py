@@ -69,10 +69,12 @@ def peaks(samples: np.ndarray, frame: int = FRAME, count: int = PEAKS) -> np.nda
 def landmarks(samples: np.ndarray) -> np.ndarray:
     """Time-coded pairs of peaks: time << 32 | bin << 20 | later bin << 8 | frames between.
 
-    Each peak is paired with the strongest peak of each of the next frames.
+    Each peak is paired with the strongest peak of each of the next frames, and the two
+    strongest of a frame with each other (no frames between), so that one frame has a pair too.
     """
     p = peaks(samples)
-    out = []
+    t = np.flatnonzero((p >= 0).all(axis=1))
+    out = [t << 32 | p[t, 0] << 20 | p[t, 1] << 8]
     for gap in range(1, AHEAD + 1):
         if len(p) <= gap:
             break
@@ -81,7 +83,7 @@ def landmarks(samples: np.ndarray) -> np.ndarray:
             a, b = p[:-gap, j], p[gap:, 0]
             good = (a >= 0) & (b >= 0)
             out.append((t << 32 | a << 20 | b << 8 | gap)[good])
-    return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
+    return np.sort(np.concatenate(out))
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
