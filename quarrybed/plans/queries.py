@@ -382,10 +382,10 @@ def index_upsert(spark, sf_dir):
     return snapshots.upsert(base, changes, ("name",))
 
 
-@query("latest_state", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS kind, max(ts) AS created_at, arg_max(event_id, (ts, event_id)) AS object_id FROM events GROUP BY user_id")
+@query("latest_state", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS kind, epoch_us(max(ts)) AS created_us, arg_max(event_id, (ts, event_id)) AS object_id FROM events GROUP BY user_id")
 def latest_state(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("kind"), F.col("ts").alias("created_at"), F.col("event_id").alias("object_id"))
-    return events.current_state(e, "user_id")
+    return events.current_state(e, "user_id").select("user_id", "kind", F.unix_micros("created_at").alias("created_us"), "object_id")
 
 
 @query("latest_patchset", "SELECT conv_id AS run, max(turn) AS sequence, conv_id * 100 + max(turn) AS object_id FROM conversations GROUP BY conv_id")
