@@ -15,6 +15,7 @@ import array
 import base64
 import gc
 import hashlib
+import re
 import struct
 
 import numpy as np
@@ -188,14 +189,21 @@ class Transducer:
         return tuple(out)
 
 
+#: The usual splitting pattern, and what it comes to on Latin-1 texts, which the plain engine reads faster.
+USUAL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t\n\x0b\x0c\r \x85\xa0"
+USUAL_LATIN = rf" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+
+
 class Encoder(dict):
     """Tokens by piece, packed as little-endian 32-bit integers: the transducer's outputs,
     remembered in two generations of bounded size."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 350_000):
         super().__init__()
         self.fst, self.limit, self.old = Transducer(ranks), limit, {}
         self.find = regex.compile(pattern).findall
+        self.find_latin = re.compile(USUAL_LATIN).findall if pattern == USUAL else self.find
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
@@ -222,8 +230,16 @@ class Encoder(dict):
         parts.extend(self.fst.finish(state))
         return np.array(parts, "<u4").tobytes()
 
+    def pieces(self, text: str) -> list[str]:
+        """The matches of the pattern."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.find(text)
+        return self.find_latin(text)
+
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, self.find(text))), "<u4")
+        return np.frombuffer(b"".join(map(self.__getitem__, self.pieces(text))), "<u4")
 
 
 class Utf8Stream:

@@ -61,6 +61,15 @@ def test_bpe_matches_the_library(spark, tik):
         assert out[k]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_latin_pieces_are_the_patterns_own():
+    e, r = bpe.Encoder(bpe.load_ranks(RANKS), public_tokenizers.PATTERN), random.Random(9)
+    assert public_tokenizers.PATTERN == bpe.USUAL and e.find_latin != e.find
+    pool = "".join(map(chr, range(256))) + "'s 't re ve m ll d \n " * 8
+    for _ in range(3000):
+        text = "".join(r.choices(pool, k=r.randrange(30)))
+        assert e.pieces(text) == e.find(text)
+
+
 def test_transducer_with_few_states(tik):
     e = bpe.Encoder(bpe.load_ranks(RANKS), public_tokenizers.PATTERN, limit=8)
     e.fst.limit = 20
