@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..storage import fresh_path, shared_folder
 from ..storage import written as _written
 
-__all__ = ["fresh_path", "partitions", "shared_folder", "slices", "small_batches", "text_or_empty", "utf8_buffers", "written"]
+__all__ = ["fresh_path", "partitions", "shared_folder", "sample_share", "slices", "small_batches", "text_or_empty", "utf8_buffers", "written"]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -58,3 +58,15 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
+
+
+def sample_share(hashed, counted: DataFrame, rows: int):
+    """Condition that lets about twice ``rows`` rows pass, chosen by a 64-bit hash; all where the table is small.
+
+    A top-k over what passes sends the driver so many rows in all, whatever the number of tasks.
+    """
+    n = counted.count()
+    if n <= 2 * rows:
+        return F.lit(True)
+    cells = 1 << 40
+    return F.pmod(hashed, F.lit(cells)) < int(cells * 2 * rows / n)

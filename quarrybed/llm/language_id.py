@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, utf8_buffers
+from .common import sample_share, slices, small_batches, utf8_buffers
 
 #: Units a direction, byte embedding, bytes in which a text is cut, and positions in a training step.
 HIDDEN, EMBED, SEGMENT, STEP = 8, 6, 128, 64
@@ -189,8 +189,9 @@ def held_out(id_col: str, mod: int, rest: int):
 
 def training_pieces(docs: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = SAMPLE_ROWS) -> tuple[list[bytes], list[str]]:
     """A bounded sample of labelled rows that are not held out: the first ``rows`` by a hash of the id, one piece of each."""
-    h = F.xxhash64(F.col(id_col), F.length(text_col))
-    usable = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, 4, 2) & (F.length(text_col) >= 8))
+    h = F.xxhash64(F.col(id_col))
+    labelled = docs.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, 4, 2))
+    usable = labelled.where(sample_share(h, labelled, rows)).where(F.col(text_col).isNotNull() & (F.length(text_col) >= 8))
     at = F.pmod(h, F.greatest(F.lit(1).cast("long"), F.length(text_col).cast("long") - SAMPLE_CHARS)).cast("int") + 1
     some = usable.select(h.alias("h"), F.substring(F.col(text_col), at, F.lit(SAMPLE_CHARS)).alias("t"), F.col(label_col).alias("y")).orderBy("h", "t", "y").limit(rows).collect()
     return [r["t"].encode() for r in some], [r["y"] for r in some]

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, utf8_buffers
+from .common import sample_share, slices, small_batches, utf8_buffers
 from .language_id import held_out
 
 #: Labelled documents used for training at most, and lines of each (spread evenly over it).
@@ -189,7 +189,8 @@ def training_lines(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     ids picks their documents, whose lines become features where they lie.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 5, 0)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    some = known.select(F.col("doc_id").alias("k"), F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("k"), "k").limit(rows)
+    few = known.where(sample_share(F.xxhash64("doc_id"), known, rows))
+    some = few.select(F.col("doc_id").alias("k"), F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("k"), "k").limit(rows)
     picked = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(some), "k").select("k", "y", "t")
 
     def run(batches):
