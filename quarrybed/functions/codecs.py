@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import pandas as pd
 import zstandard
 from pyspark.sql import functions as F
@@ -277,6 +279,42 @@ def apply_delta(base: bytes, delta: bytes) -> bytes:
     return bytes(out)
 
 
+# rolling fingerprints
+
+POLYNOMIAL, DEGREE, WIDTH = 0x80000009, 31, 16
+
+
+def _reduced(value: int) -> int:
+    while (n := value.bit_length()) > DEGREE:
+        value ^= POLYNOMIAL << (n - 1 - DEGREE)
+    return value
+
+
+_SHIFT = [_reduced(k << DEGREE) for k in range(256)]
+_DROP = [_reduced(k << 8 * (WIDTH - 1)) for k in range(256)]
+
+
+def fingerprint(window: bytes) -> int:
+    """Rabin fingerprint: the bytes as a polynomial over two elements, modulo one of degree 31."""
+    h = 0
+    for byte in window:
+        h = (h << 8 & 0x7FFFFFFF | byte) ^ _SHIFT[h >> 23]
+    return h
+
+
+def rolling_fingerprints(data: bytes) -> list[int]:
+    """Fingerprints of every window of 16 bytes, each from the one before it."""
+    if len(data) < WIDTH:
+        return []
+    h = fingerprint(data[:WIDTH])
+    out = [h]
+    for k in range(WIDTH, len(data)):
+        h ^= _DROP[data[k - WIDTH]]
+        h = (h << 8 & 0x7FFFFFFF | data[k]) ^ _SHIFT[h >> 23]
+        out.append(h)
+    return out
+
+
 # dictionary deltas
 
 
@@ -312,6 +350,21 @@ def _pairs(f):
     return run
 
 
+def _single(f):
+    def run(a: pd.Series) -> pd.Series:
+        def one(x):
+            try:
+                return None if x is None else f(bytes(x))
+            except zlib.error:
+                return None
+
+        return pd.Series([one(x) for x in a], dtype=object)
+
+    return run
+
+
+deflate_udf = F.pandas_udf(_single(zlib.compress), T.BinaryType())
+inflate_udf = F.pandas_udf(_single(zlib.decompress), T.BinaryType())
 block_delta_udf = F.pandas_udf(_pairs(encode_blocks), T.BinaryType())
 line_delta_udf = F.pandas_udf(_pairs(encode_lines), T.BinaryType())
 apply_delta_udf = F.pandas_udf(_pairs(apply_delta), T.BinaryType())

@@ -81,6 +81,20 @@ def stepped_rate(old, new) -> Column:
     return F.when(n < 4096, rate(16)).when(n < 65536, rate(128)).when(n < 1 << 20, rate(512)).otherwise(rate(1024))
 
 
+def block_set(data, block: int = 16) -> Column:
+    """The different aligned blocks of a payload, by 64-bit hashes. Make it a column once, before payloads meet in pairs."""
+    x = _col(data).cast("binary")
+    n = F.floor(F.octet_length(x) / block).cast("int")
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda k: F.xxhash64(F.substring(x, k * block + 1, F.lit(block)))))
+
+
+def block_overlap(old_blocks, new_blocks) -> Column:
+    """Share of the new payload's blocks that the old one has too; null without a block."""
+    new = _col(new_blocks)
+    return F.when(F.size(new) > 0, F.size(F.array_intersect(new, _col(old_blocks))) / F.size(new))
+
+
 def line_count(text) -> Column:
     """Lines as an editor counts them: a last newline ends its line."""
     t = _col(text)

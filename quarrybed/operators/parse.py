@@ -137,13 +137,27 @@ def parse_workflow(objects: DataFrame, kind: str) -> DataFrame:
     allowed = [x.strip().split(" ")[0] for x in _top(f"{HEADER}, {WORKFLOW[kind]}")]
     rows = objects.select(parsed.alias("r"), names.alias("names")).where(F.col("r.object_type") == kind)
     unknown = F.filter("names", lambda x: ~x.isin(*allowed))
-    problem = F.when(F.size(unknown) > 0, F.concat(F.lit("unknown: "), F.array_join(unknown, ","))).when(F.col("r.version") == 0, "version 0").when(F.col("r.created_by.id") == "", "empty actor")
+    problem = F.when(F.size(unknown) > 0, F.concat(F.lit("unknown: "), F.array_join(unknown, ","))).otherwise(header_problem(F.col("r")))
     out = rows.select("r.*", problem.alias("problem"))
     for c in VARIANT_FIELDS.get(kind, ()):
         out = out.withColumn(c, F.try_parse_json(c))
     return out
 
 
+def environment() -> Column:
+    """The driver's system, machine and working directory, as a map."""
+    import os
+    import platform
+
+    return F.create_map(*[F.lit(x) for pair in (("os", platform.system().lower()), ("arch", platform.machine()), ("cwd", os.getcwd())) for x in pair])
+
+
+def header_problem(row: Column) -> Column:
+    """What is wrong with a workflow header: an empty actor or a zero version; null for none."""
+    by = row["created_by"]
+    return F.when(row["version"] == 0, "version 0").when(F.coalesce(by["kind"], F.lit("")) == "", "empty actor kind").when(F.coalesce(by["id"], F.lit("")) == "", "empty actor")
+
+
 def _top(ddl: str) -> list[str]:
     """Fields of a schema string at its top level."""
     out, depth, part = [], 0, ""

@@ -535,3 +535,72 @@ def pack_roundtrip(spark, sf_dir):
     folder = fresh_path(spark, "packs")
     writers.write_pack(blobs, folder)
     return chains.rebuild(readers.read_packs(spark, folder)).select("oid", "obj_type", "size")
+
+
+@query("block_overlap", f"""
+    WITH r AS ({RANKED}), h AS (SELECT lang, doc_id, rn, hex(encode(text)) AS x FROM r),
+    b AS (SELECT lang, doc_id, rn, list_distinct([substr(x, 32 * i + 1, 32) FOR i IN range(length(x) // 32)]) AS s FROM h)
+    SELECT a.doc_id AS target, b.doc_id AS base, floor(len(list_intersect(a.s, b.s)) * 10000 / len(a.s))::BIGINT AS share FROM b a JOIN b ON a.lang = b.lang AND b.rn BETWEEN a.rn - 10 AND a.rn - 1 WHERE len(a.s) > 0""")
+def block_overlap(spark, sf_dir):
+    sets = table(spark, sf_dir, "documents").select("doc_id", text.block_set("text").alias("s"))
+    c = _candidates(spark, sf_dir)
+    c = c.join(sets.select(F.col("doc_id").alias("target"), F.col("s").alias("t")), "target").join(sets.select(F.col("doc_id").alias("base"), F.col("s").alias("b")), "base")
+    pairs = c.select("target", "base", text.block_overlap("b", "t").alias("share"))
+    return pairs.where("share IS NOT NULL").withColumn("share", F.floor(F.col("share") * 10000))
+
+
+@query("deflate_roundtrip")
+def deflate_roundtrip(spark, sf_dir):
+    """Texts deflated and inflated: sizes, and whether they come back."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("data")).withColumn("small", codecs.deflate_udf("data"))
+    return d.select("doc_id", F.octet_length("data").alias("size"), F.octet_length("small").alias("stored"), codecs.inflate_udf("small").eqNullSafe(F.col("data")).alias("same"))
+
+
+def _turn_commits(spark, sf_dir):
+    """Commits made of conversation turns."""
+    c = table(spark, sf_dir, "conversations")
+    who = lambda role: F.struct(F.lit(role).alias("role"), F.col("role").alias("name"), F.lit("turn@example.org").alias("email"), (F.lit(1_700_000_000) + F.col("turn") * 60).cast("long").alias("epoch"), F.lit("+0100").alias("tz"))
+    parents = F.when(F.col("turn") > 0, F.array(F.sha1(F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string"))))).otherwise(F.array().cast("array<string>"))
+    return c.select(F.sha1(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).alias("tree_oid"), parents.alias("parents"), who("author").alias("author"), who("committer").alias("committer"), F.lit("").alias("extra"), F.col("text").alias("message"))
+
+
+@query("commit_parse", """
+    SELECT sha1(conv_id || '/' || turn) AS tree_oid, CASE WHEN turn > 0 THEN sha1(conv_id || ':' || (turn - 1)) ELSE '' END AS parents, role AS author, 1700000000 + turn * 60 AS epoch, text AS message,
+    trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]) AS subject FROM conversations""")
+def commit_parse(spark, sf_dir):
+    parsed = parse.parse_commits(parse.commit_data(_turn_commits(spark, sf_dir)))
+    return parsed.select("tree_oid", F.array_join("parents", ",").alias("parents"), F.col("author.name").alias("author"), F.col("author.epoch").alias("epoch"), "message", parse.subject(F.col("message")).alias("subject"))
+
+
+@query("tree_parse", f"""
+    WITH i AS (SELECT source, doc_id || '.txt' AS name, {OID} AS oid FROM documents)
+    SELECT '100644' AS mode, 'blob' AS kind, oid, name, (row_number() OVER (PARTITION BY source ORDER BY name) - 1)::INTEGER AS pos FROM i""")
+def tree_parse(spark, sf_dir):
+    items = document_blobs(spark, sf_dir).select(F.split_part("file_path", F.lit("/"), F.lit(2)).alias("source"), F.lit("100644").alias("mode"), "oid", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"))
+    return parse.parse_trees(parse.tree_data(items, "source")).select("mode", "kind", "oid", "name", "pos")
+
+
+@query("workflow_events", """
+    SELECT event_id::VARCHAR AS object_id, user_id::VARCHAR AS run_id, event_type AS kind, json_extract_string(props, '$.k')::BIGINT AS k FROM events""")
+def workflow_events(spark, sf_dir):
+    """Events written as workflow JSON and parsed again; free-form metrics are read as variants."""
+    e = table(spark, sf_dir, "events")
+    head = [F.col("event_id").cast("string").alias("object_id"), F.lit("run_event").alias("object_type"), F.lit(1).alias("version"), F.struct(F.lit("system").alias("kind"), F.lit("log").alias("id")).alias("created_by")]
+    row = F.struct(*head, F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("kind"), F.col("props").alias("metrics"))
+    parsed = parse.parse_workflow(e.select(F.to_json(row).cast("binary").alias("data")), "run_event")
+    return parsed.select("object_id", "run_id", "kind", F.try_variant_get("metrics", "$.k", "bigint").alias("k"))
+
+
+@query("event_windows", "SELECT event_type, epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start_us, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    """Hourly counts by a stream over the event log, with a watermark."""
+    import uuid
+
+    from ..streaming.ingest import event_counts
+
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("at", F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")))
+    name = f"counts_{uuid.uuid4().hex}"
+    q = event_counts(stream, "at", "event_type", "1 hour").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select("event_type", F.unix_micros("start").alias("start_us"), "n")

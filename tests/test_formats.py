@@ -91,6 +91,16 @@ def test_deltas_round_trip(base, edits):
     assert codecs.apply_dictionary_delta(base, codecs.dictionary_delta(base, target)) == target
 
 
+@given(st.binary(min_size=16, max_size=120))
+def test_rolling_fingerprints(data):
+    rolled = codecs.rolling_fingerprints(data)
+    assert rolled == [codecs.fingerprint(data[k : k + 16]) for k in range(len(data) - 15)]
+    h = int.from_bytes(data[:16], "big")
+    while h.bit_length() > 31:
+        h ^= codecs.POLYNOMIAL << (h.bit_length() - 32)
+    assert rolled[0] == h
+
+
 def test_delta_limits():
     r = random.Random(1)
     base = bytes(r.randrange(256) for _ in range(5000))
