@@ -566,7 +566,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = False, carry: tuple = ()) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes).
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 (with_text: kept, the
+    remaining bytes, and kept_text, which leaves out the bytes of characters cut through).
 
     A byte goes if a string of ``length`` bytes of its document that covers it also starts
     earlier: in a document with a smaller id, or before in the same one. Strings are those of
@@ -603,14 +604,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             columns = [b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(sums, pa.string())]
             names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
-                columns.append(pa.array(kept, pa.binary()))
-                names.append("kept")
+                columns += [pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())]
+                names += ["kept", "kept_text"]
             if carry:
                 columns.append(b.column(3))
                 names.append("carried")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    kind = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    kind = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string" * with_text
     if carry:
         kind += f", carried {docs.select(*carry).schema.simpleString()}"
     return joined.mapInArrow(cut, kind).withColumnRenamed("id", id_col)
