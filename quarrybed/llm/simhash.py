@@ -145,13 +145,24 @@ def _cell_links(cell: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarr
     return np.concatenate(us or none), np.concatenate(vs or none)
 
 
+def spare_blocks(points: int, radius: int, fill: int = 256) -> int:
+    """Blocks on which a cell agrees, so that cells of so many distinct fingerprints hold about ``fill`` on average.
+
+    A segment's count has 1.5 bits of information. For a radius of 4: 2 of 6 blocks (15 cells a
+    fingerprint, some 2^16 cells each) up to 2^24 points, 3 of 7 (35, 2^20) up to 2^28, 4 of 8
+    (70, 2^24) up to 2^32. Every choice is exact; it decides how much work a cell is.
+    """
+    spare = 2
+    while spare < 8 and points > fill * 2 ** (48 * spare / (radius + spare)):
+        spare += 1
+    return spare
+
+
 def grid_join(fps: DataFrame, radius: int = 4, spare: int = 2) -> DataFrame:
     """Links (fp_u, fp_v) that connect all distinct fingerprints within a Hamming distance.
 
     Each cell yields a spanning forest of its links, at most one row a point. A cell's points
-    are distinct fingerprints alike in ``spare`` blocks of counts. ``spare`` 2 files each
-    fingerprint in 15 cells of about 2^15 values; 3 in 35 cells of about 2^19, for corpora
-    beyond some 10^9 distinct fingerprints.
+    are distinct fingerprints alike in ``spare`` blocks of counts; see ``spare_blocks``.
     """
     spark = fps.sparkSession
     n_choices = len(list(combinations(range(radius + spare), spare)))
@@ -179,7 +190,7 @@ def grid_join(fps: DataFrame, radius: int = 4, spare: int = 2) -> DataFrame:
     return met.mapInArrow(link, "fp_u long, fp_v long").distinct()
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, spare: int = 2) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, spare: int | None = None) -> DataFrame:
     """One row per input row: id, fingerprint (hex), component_id (smallest id reachable).
 
     Null and blank texts have fingerprint zero and link like any other. Rows with one
@@ -189,7 +200,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     fps = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
     points = written(fps.groupBy("fp").agg(F.min("id").alias("rep")), "points")
-    links = grid_join(points, radius, spare)
+    links = grid_join(points, radius, spare_blocks(points.count(), radius) if spare is None else spare)
     # the nodes of the components are fingerprints; their names come afterwards
     parts = connected_components(links.select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v")))
     named = points.join(parts, points.fp == parts.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))

@@ -106,3 +106,16 @@ def test_empty_and_null_ids(spark):
     assert sh.simhash_dedup(spark.createDataFrame([], kind)).count() == 0
     got = sh.simhash_dedup(spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (None, "something else entirely now")], kind)).collect()
     assert {(r["doc_id"], r["component_id"]) for r in got} == {(None, 4), (4, 4), (None, None)}
+
+
+def test_cells_grow_with_the_points(spark):
+    assert [sh.spare_blocks(n, 4) for n in (0, 1 << 20, 1 << 25, 1 << 30, 1 << 33)] == [2, 2, 3, 4, 5]
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    near = base ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64))
+    fps = sorted(set(np.concatenate((base, near)).view(np.int64).tolist()))
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    within = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if bin((a ^ b) & (1 << 64) - 1).count("1") <= 4}
+    for spare in (2, 3, 4):
+        got = {tuple(sorted(r)) for r in sh.grid_join(df, 4, spare).collect()}
+        assert got == within  # cells this small give all their pairs
