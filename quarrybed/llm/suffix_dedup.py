@@ -78,8 +78,11 @@ UNIT = np.dtype([("key", "u8"), ("ctx", "u8"), ("doc", "i8"), ("tie", "u4"), ("p
 KEY_MASK = np.uint64((1 << 48) - 1)
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, tie: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
-    """Contexts of documents laid end to end: first window (pos), number of windows (nw), place of the gram (at)."""
+def contexts(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, tie: np.ndarray, length: int = LENGTH, gram: int = GRAM, rough: bool = False) -> np.ndarray:
+    """Contexts of documents laid end to end: first window (pos), number of windows (nw), place of the gram (at).
+
+    ``rough`` takes the polynomial hash for ``ctx``, which is enough to count different contexts.
+    """
     n = len(data)
     if n < length:
         return np.zeros(0, UNIT)
@@ -112,6 +115,10 @@ def contexts(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, tie: np.nda
     out = np.empty(len(first), UNIT)
     out["key"], out["doc"], out["tie"] = g[first] & KEY_MASK, doc[own], tie[own]
     out["pos"], out["nw"], out["at"] = first - offsets[own], nw, where[first] - first
+    if rough:
+        end = first + nw + length - 1
+        out["ctx"] = _mix((h[end] - h[first]) * down[first])
+        return out
     raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
     out["ctx"] = np.fromiter((digest(raw[a:b]) for a, b in zip(first.tolist(), (first + nw + length - 1).tolist())), np.uint64, len(first))
     return out
@@ -392,7 +399,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return t.select("id", F.coalesce("id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("t").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tie"), "t")
 
 
-def _unit_batches(batches, length: int, gram: int):
+def _unit_batches(batches, length: int, gram: int, rough: bool = False):
     """(units, bytes of the windows of some units) for slices of about a megabyte of text."""
     for b in batches:
         data, offsets = utf8_buffers(b.column(2))
@@ -402,34 +409,43 @@ def _unit_batches(batches, length: int, gram: int):
         while i < n:
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BATCH, "right")) - 1)
             part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            units = contexts(part, off, doc[i:j], tie[i:j], length, gram)
+            units = contexts(part, off, doc[i:j], tie[i:j], length, gram, rough)
             yield units, part, off, doc[i:j], tie[i:j]
             i = j
 
 
 def hot_grams(keyed: DataFrame, length: int, gram: int, hot: int) -> np.ndarray:
-    """Grams with so many different contexts that their windows are dealt out; at most MAX_HOT, the most frequent ones."""
+    """Grams with about ``hot`` different contexts or more, whose windows are dealt out; at most MAX_HOT, the most frequent ones.
+
+    Different contexts are counted by those whose hash falls in one of so many parts of the
+    hash range, some 300 of them at the threshold: a context that recurs all over the corpus
+    counts once, and one that is alone in every task counts all the same. The choice decides
+    how windows are dealt and never which of them are compared.
+    """
+    every = 1 << max(0, (hot // 300).bit_length() - 1)
 
     def run(batches):
         held, size = [], 0
 
         def flush():
-            first, _ = collapse(np.concatenate(held))
-            keys, n = np.unique(first["key"], return_counts=True)
-            many = n >= 16
-            return pa.RecordBatch.from_arrays([pa.array(keys[many].astype(np.int64)), pa.array(n[many].astype(np.int64))], ["key", "n"])
-
-        for units, *_ in _unit_batches(batches, length, gram):
-            held.append(units)
-            size += len(units)
+            pairs = np.unique(np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array(pairs["key"].astype(np.int64)), pa.array(pairs["ctx"].astype(np.int64))], ["key", "ctx"])
+
+        for units, *_ in _unit_batches(batches, length, gram, rough=True):
+            some = units[(units["ctx"] & np.uint64(every - 1)) == 0]
+            pairs = np.empty(len(some), [("key", "u8"), ("ctx", "u8")])
+            pairs["key"], pairs["ctx"] = some["key"], some["ctx"]
+            held.append(pairs)
+            size += len(pairs)
             if size >= FLUSH:
                 yield flush()
                 held, size = [], 0
         if held:
             yield flush()
 
-    counts = keyed.select("doc", "tie", "t").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") >= hot).orderBy(F.desc("n"), "key").limit(MAX_HOT).collect()
+    different = keyed.select("doc", "tie", "t").mapInArrow(run, "key long, ctx long").distinct()
+    counts = different.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.where(F.col("n") >= max(1, hot // every)).orderBy(F.desc("n"), "key").limit(MAX_HOT).collect()
     return np.array(sorted(r["key"] for r in rows), np.uint64)
 
 

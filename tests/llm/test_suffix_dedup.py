@@ -96,3 +96,23 @@ def test_blobs_round_trip():
         a[n] = r.integers(0, 1000, 1000)
     assert (sd.from_blob(sd.to_blob(a), sd.UNIT) == a).all()
     assert len(sd.from_blob(sd.to_blob(a[:0]), sd.UNIT)) == 0
+
+
+def test_hot_grams_count_different_contexts(spark):
+    """A gram among ever new contexts is hot, however thinly they are spread; one that recurs with the same context is not."""
+    r = random.Random(5)
+    word = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    common, copied = word(34), word(150)
+    rows = [(k, word(60) + common + word(60)) for k in range(120)] + [(1000 + k, copied) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(60)
+    hot = set(sd.hot_grams(sd._keyed(df, "doc_id", "text"), 100, 32, 80).tolist())
+
+    def keys(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        zero = np.zeros(1, np.int64)
+        return set(sd.contexts(data, np.array([0, len(data)]), zero, zero.astype(np.uint32))["key"].tolist())
+
+    assert not hot & keys(copied)
+    alike = [keys(t) for k, t in rows[:120]]
+    shared = {g for ks in alike for g in ks if sum(g in other for other in alike) >= 90}
+    assert hot <= set().union(*alike) and shared <= hot
