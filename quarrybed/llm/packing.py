@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import struct
 import zlib
+from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,8 @@ class WordMemo(dict):
     Kept in two generations, so that its size is bounded.
 
     The tokenizer's splits never cross white space, and a trailing comma or full stop after a
-    letter is a piece of its own, so a chunk's ids are those of its parts.
+    letter is a piece of its own, so a chunk's ids are those of its parts. (A letter that the
+    normalisers turn into a letter and a mark is no such letter.)
     """
 
     def __init__(self, path: str, limit: int = 300_000):
@@ -55,7 +57,7 @@ class WordMemo(dict):
         if ids is None:
             if len(chunk) > 64:
                 return self.pack(self.plain(chunk))
-            if len(chunk) > 1 and chunk[-1] in ",." and chunk[-2].isalpha():
+            if len(chunk) > 1 and chunk[-1] in ",." and normalize("NFC", chunk[-2]).lower().isalpha():
                 ids = self[chunk[:-1]] + self[chunk[-1]]
             elif chunk.isalpha() and (chunk.isascii() or chunk.translate(LATIN_SMALL).isascii()):
                 ids = self.pack([t.id for t in self.split(chunk.translate(BYTE_CHARS))])  # one piece already normalised

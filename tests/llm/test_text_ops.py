@@ -133,3 +133,9 @@ def test_sum_of_squares_rule_and_padding():
     lengths = np.random.default_rng(7).integers(1, 1500, 3000)
     which, at = packing.pack_lane(lengths)
     assert lengths.sum() / (len(set(which)) * 4096) > 0.97
+
+
+def test_letters_that_become_a_letter_and_a_mark():
+    words = packing.WordMemo(public_tokenizers.path("word_bpe_49k.json"))
+    for text in ("\u0130. \u0130, a\u0130.", "\u0958. \u09dc,", "\u1e9e. \u03a3. \u01c4,", "e\u0301. \u0301, x"):
+        assert words.encode(text) == words.pack(words.plain(text))
