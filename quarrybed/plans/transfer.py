@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,8 +136,53 @@ def apply_commands(refs: DataFrame, commands: DataFrame, objects: DataFrame) ->
     return after, judged.select("old_oid", "new_oid", "ref_name", "ref_type", "command", "status", "error")
 
 
-def report(judged: DataFrame) -> bytes:
+def report(judged: DataFrame, unpack: str = "ok") -> bytes:
     """The report of a push: unpack, then a line a command."""
-    lines = [packet("unpack ok\n")]
+    lines = [packet(f"unpack {unpack}\n")]
     lines += [packet(f"ok {r['ref_name']}\n" if r["status"] == "success" else f"ng {r['ref_name']} {r['error']}\n") for r in judged.orderBy("ref_name").toLocalIterator()]
     return b"".join(lines) + FLUSH
+
+
+@dataclass
+class Push:
+    """What a push leaves: objects that are new, refs afterwards, its commands with status, and the report to send."""
+
+    new: DataFrame
+    refs: DataFrame
+    judged: DataFrame
+    report: bytes
+
+
+def receive(spark: SparkSession, request: bytes, refs: DataFrame, objects: DataFrame, hash_kind: str = "sha1") -> Push:
+    """Take a push: update commands up to a flush, then a pack, whose deltas may build on ``objects`` (oid, obj_type, data).
+
+    A pack that is damaged, or has a delta without a base, fails all commands and adds
+    nothing. The pack of one request is parsed by the driver; its objects are rebuilt in tasks.
+    """
+    from ..operators.chains import rebuild
+    from ..sources import formats
+    from ..sources.readers import ENTRIES, ENTRY_ARROW, pack_batches
+    from ..storage import written
+
+    packets, at = read_packets(request)
+    lines = [p.decode("utf-8", "replace") for p in packets[: packets.index(None) if None in packets else len(packets)]]
+    commands = written(parse_commands(spark.createDataFrame([(x,) for x in lines], "line string")), "commands")
+    batches, problem = [], "ok"
+    try:
+        batches = list(pack_batches("push", request[at:], hash_kind)) if at < len(request) else []
+    except formats.CodecError as e:
+        problem = str(e)
+    entries = spark.createDataFrame(pa.Table.from_batches(batches, ENTRY_ARROW), ENTRIES)
+    wanted = entries.where("base_oid IS NOT NULL").select(F.col("base_oid").alias("oid")).distinct()
+    known = objects.join(wanted, "oid", "left_semi").select("oid", "obj_type", "data")
+    made = written(rebuild(entries, hash_kind, known).where("pack_id IS NOT NULL"), "made")
+    if problem == "ok" and made.count() < sum(map(len, batches)):
+        problem = "a delta's base is missing"
+    new = made.dropDuplicates(["oid"]).join(objects.select("oid"), "oid", "left_anti")
+    if problem != "ok":
+        new = new.limit(0)
+    after, judged = apply_commands(refs, commands, objects.select("oid").unionByName(new.select("oid")))
+    if problem != "ok":
+        after, judged = refs, judged.withColumn("status", F.lit("failed")).withColumn("error", F.lit("unpack failed"))
+    new, after, judged = written(new, "new"), written(after, "refs"), written(judged, "judged")
+    return Push(new, after, judged, report(judged, problem))

@@ -60,15 +60,18 @@ def pack_trailer(data: bytes, hash_kind: str = "sha1") -> tuple[str, str]:
     return data[-n:].hex(), HASHES[hash_kind](memoryview(data)[:-n]).hexdigest()
 
 
-def parse_entry(data: bytes, at: int, seq: int, hash_kind: str = "sha1", payload: bool = True, end: int | None = None) -> PackEntry:
-    """One entry at an offset; its size is checked; ``payload`` False inflates and drops it."""
+def parse_entry(data: bytes, at: int, seq: int, hash_kind: str = "sha1", payload: bool = True, end: int | None = None, shift: int = 0) -> PackEntry:
+    """One entry at an offset; its size is checked; ``payload`` False inflates and drops it.
+
+    ``shift``: where ``data`` begins in the pack, if it is a part of one.
+    """
     end = len(data) - ID_SIZE[hash_kind] if end is None else end
     start = at
     code, size, at = read_entry_header(data, at)
     base_offset = base_oid = None
     if code in (OFFSET_DELTA, ZSTD_DELTA):
         distance, at = read_distance(data, at)
-        base_offset = start - distance
+        base_offset = start + shift - distance
         if base_offset < 12 or distance == 0:
             raise FormatError(f"the base of the entry at {start} is outside")
     elif code == REF_DELTA:
@@ -94,7 +97,7 @@ def parse_entry(data: bytes, at: int, seq: int, hash_kind: str = "sha1", payload
         raise FormatError(f"the entry at {start}: {e}") from e
     if got != size:
         raise FormatError(f"the entry at {start} has {got} bytes or more, not {size}")
-    return PackEntry(seq, start, at, code, size, base_offset, base_oid, b"".join(parts) if payload else None, zlib.crc32(view[start:at]))
+    return PackEntry(seq, start + shift, at + shift, code, size, base_offset, base_oid, b"".join(parts) if payload else None, zlib.crc32(view[start:at]))
 
 
 def parse_pack(data: bytes, hash_kind: str = "sha1", payload: bool = True, verify: bool = True) -> Iterator[PackEntry]:
@@ -116,6 +119,15 @@ def parse_pack(data: bytes, hash_kind: str = "sha1", payload: bool = True, verif
         raise FormatError("bytes after the last entry")
 
 
+def parse_range(data: bytes, shift: int, seq: int, offsets: list[int], stop: int, hash_kind: str = "sha1", payload: bool = True) -> Iterator[PackEntry]:
+    """Entries of a part of a pack that begins at ``shift``, by the offsets that its index has; ``stop`` is where the next entry or the trailer begins."""
+    for k, (at, after) in enumerate(zip(offsets, [*offsets[1:], stop])):
+        e = parse_entry(data, at - shift, seq + k, hash_kind, payload, len(data), shift)
+        if e.next_offset != after:
+            raise FormatError(f"the entry at {at} ends at {e.next_offset}, but the index says {after}")
+        yield e
+
+
 def encode_entry(code: int, data: bytes, distance: int | None = None, base_oid: str | None = None, level: int = 6) -> bytes:
     """An entry as it stands in a pack."""
     head = write_entry_header(code, len(data))
@@ -126,8 +138,12 @@ def encode_entry(code: int, data: bytes, distance: int | None = None, base_oid:
     return head + zlib.compress(data, level)
 
 
+def pack_head(count: int) -> bytes:
+    return b"PACK" + struct.pack(">II", 2, count)
+
+
 def pack_bytes(entries: list[bytes], hash_kind: str = "sha1") -> bytes:
-    body = b"PACK" + struct.pack(">II", 2, len(entries)) + b"".join(entries)
+    body = pack_head(len(entries)) + b"".join(entries)
     return body + HASHES[hash_kind](body).digest()
 
 

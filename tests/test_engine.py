@@ -263,3 +263,65 @@ def test_event_time_counts(spark, tmp_path):
     q = ingest.event_counts(stream, "ts", "kind").writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r["kind"], r["n"]) for r in spark.table("counts").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_packfile_writes_a_pack_per_task_and_reads_ranges(spark, tmp_path):
+    readers.register(spark)
+    base = "words that most of these share, a line of them\n" * 12
+    texts = [(base + f"tail {k}").encode() for k in range(60)]
+    objects = spark.createDataFrame([(oid(t), "blob", bytearray(t)) for t in texts], "oid string, obj_type string, data binary").repartition(2)
+    objects.write.format("packfile").mode("append").option("window", "4").save(f"{tmp_path}/packs")
+    assert sorted(n.rsplit(".", 1)[1] for n in os.listdir(f"{tmp_path}/packs")) == ["idx", "idx", "pack", "pack"]
+    whole = spark.read.format("packfile").load(f"{tmp_path}/packs")
+    split = spark.read.format("packfile").option("splitBytes", "200").load(f"{tmp_path}/packs")
+    assert split.rdd.getNumPartitions() > whole.rdd.getNumPartitions() == 2
+    key = lambda df: {(r["pack_id"], r["seq"], r["offset"], r["next_offset"], r["type_bits"], r["base_offset"], r["crc32"], bytes(r["payload"])) for r in df.collect()}
+    assert key(split) == key(whole)
+    made = chains.rebuild(split).collect()
+    assert {(r["oid"], bytes(r["data"])) for r in made} == {(oid(t), t) for t in texts} and any(r["is_delta"] for r in made)
+    assert {r["error"] for r in readers.check_packs(spark, f"{tmp_path}/packs").collect()} == {None}
+    idx = {(r["oid"], r["offset"]) for r in readers.read_pack_indexes(spark, f"{tmp_path}/packs").collect()}
+    assert idx == {(r["oid"], r["pack_offset"]) for r in made}
+    with pytest.raises(Exception, match="only commits"):
+        objects.withColumn("obj_type", F.lit("task")).write.format("packfile").mode("append").save(f"{tmp_path}/bad")
+
+
+@pytest.mark.parametrize("kind", ["sha1", "sha256"])
+def test_index_sections_equal_the_plain_writer(spark, tmp_path, kind, monkeypatch):
+    monkeypatch.setattr(writers, "INDEX_RANGE", 7)
+    rows = [(oid(b"%d" % k, h=kind), k * 977, 12 + k if k % 5 else (1 << 31) + k) for k in range(40)]
+    check = "ab" * fm.ID_SIZE[kind]
+    writers.write_pack_index(spark.createDataFrame(rows, "oid string, crc32 long, offset long"), f"{tmp_path}/x/a.idx", check, kind)
+    with open(f"{tmp_path}/x/a.idx", "rb") as f:
+        got, checksum = fm.parse_pack_index(f.read(), kind)
+    assert got == sorted(rows) and checksum == check
+    with open(f"{tmp_path}/x/a.idx", "rb") as f:
+        assert f.read() == fm.pack_index_bytes(rows, check, kind)
+
+
+def push_request(commands, entries):
+    body = b"".join(transfer.packet(c) for c in commands) + transfer.FLUSH
+    return body + (fm.pack_bytes(entries) if entries else b"")
+
+
+def test_pushes(spark, tmp_path):
+    zero, base, more = "0" * 40, b"shared words " * 30, b"shared words " * 30 + b"!"
+    first = push_request([f"{zero} {oid(base)} refs/heads/main\0report-status\n"], [fm.encode_entry(fm.BLOB, base)])
+    thin = push_request([f"{oid(base)} {oid(more)} refs/heads/main\n", f"{zero} {'ee' * 20} refs/tags/none\n"], [fm.encode_entry(fm.REF_DELTA, codecs.encode_blocks(base, more), base_oid=oid(base))])
+    lost = push_request([f"{zero} {oid(b'z')} refs/heads/z\n"], [fm.encode_entry(fm.BLOB, b"z"), fm.encode_entry(fm.REF_DELTA, b"\1\1\1a", base_oid="ab" * 20)])
+    broken = push_request([f"{oid(more)} {zero} refs/heads/main\n"], [fm.encode_entry(fm.BLOB, b"q")])[:-1] + b"\0"
+    put(f"{tmp_path}/in/1.push", first)
+    put(f"{tmp_path}/in/2.push", thin)
+    query, target = ingest.ingest_pushes(spark, f"{tmp_path}/in", f"{tmp_path}/store")
+    query.awaitTermination()
+    assert {tuple(r) for r in target.refs().collect()} == {("refs/heads/main", oid(more))}
+    put(f"{tmp_path}/in/3.push", lost)
+    put(f"{tmp_path}/in/4.push", broken)
+    put(f"{tmp_path}/in/5.push", push_request([f"{oid(more)} {zero} refs/heads/main\n"], []))
+    query, target = ingest.ingest_pushes(spark, f"{tmp_path}/in", f"{tmp_path}/store")
+    query.awaitTermination()
+    assert target.refs().count() == 0 and {r["oid"] for r in target.store.objects().collect()} == {oid(base), oid(more)}
+    said = {r["path"].rsplit("/", 1)[1][0]: bytes(r["report"]) for r in target.reports().collect()}
+    assert b"unpack ok" in said["2"] and b"ok refs/heads/main" in said["2"] and b"ng refs/tags/none unknown object" in said["2"]
+    assert b"unpack a delta's base is missing" in said["3"] and b"ng refs/heads/z" in said["3"]
+    assert b"checksum" in said["4"] and b"ng refs/heads/main" in said["4"] and b"ok refs/heads/main" in said["5"]
