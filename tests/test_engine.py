@@ -325,3 +325,12 @@ def test_pushes(spark, tmp_path):
     assert b"unpack ok" in said["2"] and b"ok refs/heads/main" in said["2"] and b"ng refs/tags/none unknown object" in said["2"]
     assert b"unpack a delta's base is missing" in said["3"] and b"ng refs/heads/z" in said["3"]
     assert b"checksum" in said["4"] and b"ng refs/heads/main" in said["4"] and b"ok refs/heads/main" in said["5"]
+
+
+def test_write_pack_of_copies_under_many_paths(spark, tmp_path):
+    """Groups and offsets agree though equal objects come with different paths, in any order."""
+    rows = [(oid(b"text %d" % (k % 150)), "blob", bytearray(b"text %d" % (k % 150)), f"d{k % 7}/f{k}") for k in range(450)]
+    objects = spark.createDataFrame(rows, "oid string, obj_type string, data binary, file_path string").repartition(5, F.rand())
+    writers.write_pack(objects, str(tmp_path), window=0, group=8)
+    got = readers.read_packs(spark, str(tmp_path)).collect()
+    assert len(got) == 150 and {oid(bytes(r["payload"])) for r in got} == {r[0] for r in rows}
