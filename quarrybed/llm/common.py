@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +14,30 @@ from pyspark.sql import functions as F
 from ..storage import fresh_path, shared_folder
 from ..storage import written as _written
 
-__all__ = ["fresh_path", "partitions", "shared_folder", "sample_share", "slices", "small_batches", "text_or_empty", "utf8_buffers", "written"]
+__all__ = ["fresh_path", "hot_join", "partitions", "shared_folder", "sample_share", "slices", "small_batches", "text_or_empty", "utf8_buffers", "written"]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage, survives executors."""
-    out = _written(df, name)
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets the cleaner drop shuffle files of what is now written
-    return out
+    """Write a table to the shared folder and read it again: cuts lineage, survives executors.
+
+    The shuffle files behind it go as soon as it is written.
+    """
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        return _written(df, name)
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A setting of the session, put back afterwards."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -70,3 +90,27 @@ def sample_share(hashed, counted: DataFrame, rows: int):
         return F.lit(True)
     cells = 1 << 40
     return F.pmod(hashed, F.lit(cells)) < int(cells * 2 * rows / n)
+
+
+def hot_join(rows: DataFrame, table: DataFrame, keys: list[tuple[str, str]], count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with table on (row column, table column) pairs, hot keys apart; no column may be in both.
+
+    ``count`` says how many rows have a table row's key, ``total`` how many there are. Keys
+    with over total / (4 x partitions) rows are at most 4 x partitions, so those rows of the
+    table are broadcast. All else meets by shuffle, where no key has more rows than that;
+    rows that have met are dealt evenly there.
+    """
+    limit = max(1000, total // (4 * partitions(rows.sparkSession)))
+    hot, cold = table.where(F.col(count) > limit), table.where(F.col(count) <= limit)
+    on = lambda left, right: reduce(and_, [left[a] == right[b] for a, b in keys])
+    if hot.isEmpty():
+        return rows.join(table, on(rows, table), how)
+    names = table.columns
+    met = rows.join(F.broadcast(hot.select(F.struct(*names).alias("hot_"), *[F.col(b).alias(f"on{i}_") for i, (_, b) in enumerate(keys)])), reduce(and_, [F.col(a) == F.col(f"on{i}_") for i, (a, _) in enumerate(keys)]), "left").drop(*[f"on{i}_" for i in range(len(keys))])
+    met = met.withColumn("salt_", F.when(F.col("hot_").isNotNull(), F.monotonically_increasing_id() + 1).otherwise(F.lit(0).cast("long")))
+    cold = cold.select(F.struct(*names).alias("cold_"), *[F.col(b).alias(f"on{i}_") for i, (_, b) in enumerate(keys)], F.lit(0).cast("long").alias("none_"))
+    found = met.join(cold, reduce(and_, [F.col(a) == F.col(f"on{i}_") for i, (a, _) in enumerate(keys)], F.col("salt_") == F.col("none_")), "left")
+    both = F.coalesce("hot_", "cold_")
+    if how == "inner":
+        found = found.where(both.isNotNull())
+    return found.select(*rows.columns, *[both[c].alias(c) for c in names])
