@@ -2,21 +2,21 @@
 
 Equal strings of LENGTH bytes hold the same least gram (of GRAM bytes, by hash) at the same
 place, so strings are gathered by that gram: a *context* is a run of windows of LENGTH bytes
-that share it. Contexts meet by gram; equal contexts are collapsed before and after the
-shuffle; where a gram has different contexts, their suffixes from the gram on are sorted by
+that share it. Contexts meet by gram, first in a map task, then over all; contexts whose
+gram is met again are fetched and sorted by their suffixes from the gram on, by
 a mergesort whose comparisons find common extensions by binary search over prefix
 polynomial hashes. Neighbours in that order and hashes of what precedes the gram say which
-windows are equal, and all of it is verified byte by byte.
+windows are equal. Hashes only propose: whatever is removed was compared byte by byte.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,11 +24,10 @@ from pyspark.sql import functions as F
 from .common import partitions, small_batches, text_or_empty, utf8_buffers, written
 
 LENGTH, GRAM = 100, 32
-#: Contexts of one gram from which on its windows are dealt by their own hashes.
-HOT = 20_000
-#: Such grams at most: a bound on what is sent to every task (8 bytes each).
-MAX_HOT = 100_000
-FLUSH, BATCH = 300_000, 1 << 20
+#: Contexts of one gram from which on its windows are dealt by their own hashes, and bits of the map of such grams.
+HOT, HOT_BITS = 20_000, 1 << 24
+#: Units that a map task holds, bytes that are hashed at once, units of a bucket, buckets of a task, bytes between collapses in the sort.
+FLUSH, BATCH, BUCKET, BUCKETS_A_TASK, SORT_HELD = 300_000, 1 << 20, 200_000, 64, 1 << 24
 
 _BASE = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
@@ -74,18 +73,29 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-UNIT = np.dtype([("key", "u8"), ("ctx", "u8"), ("doc", "i8"), ("tie", "u4"), ("pos", "i8"), ("nw", "i2"), ("at", "i2")])
+#: A document is (doc, ta, tb): its id, and 128 bits of its text's SHA-256 where ids repeat.
+UNIT = np.dtype([("key", "u8"), ("doc", "i8"), ("ta", "i8"), ("tb", "i8"), ("pos", "i8"), ("nw", "i2"), ("at", "i2")])
+SPAN = np.dtype([("doc", "i8"), ("ta", "i8"), ("tb", "i8"), ("start", "i8"), ("end", "i8")])
+DOC = ("doc", "ta", "tb")
 KEY_MASK = np.uint64((1 << 48) - 1)
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, tie: np.ndarray, length: int = LENGTH, gram: int = GRAM, rough: bool = False) -> np.ndarray:
-    """Contexts of documents laid end to end: first window (pos), number of windows (nw), place of the gram (at).
+def range_hashes(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Mixed polynomial hashes of byte ranges, from prefix hashes."""
+    return _mix((h[end] - h[first]) * Powers.of(len(h))[1][first])
 
-    ``rough`` takes the polynomial hash for ``ctx``, which is enough to count different contexts.
+
+def contexts(data: np.ndarray, offsets: np.ndarray, docs: tuple, length: int = LENGTH, gram: int = GRAM, hot=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts of documents laid end to end, hashes of their bytes, and where they begin in ``data``.
+
+    A unit has its first window (pos), number of windows (nw) and the place of the gram (at).
+    A context of a gram for which ``hot`` (keys -> booleans) holds is taken apart: each window
+    is a unit of its own, keyed by the hash of all its bytes.
     """
     n = len(data)
+    none = np.zeros(0, UNIT), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if n < length:
-        return np.zeros(0, UNIT)
+        return none
     _, down = Powers.of(n + 1)
     h = prefix_hashes(data)
     least = _mix((h[gram:] - h[:-gram]) * down[: n - gram + 1])
@@ -107,87 +117,92 @@ def contexts(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, tie: np.nda
     new[offsets[whole]] = True
     first = np.flatnonzero(new & inside)
     if not len(first):
-        return np.zeros(0, UNIT)
+        return none
     edge = np.flatnonzero(new | ~inside)
     after = np.append(edge, len(g))[np.searchsorted(edge, first, "right")]
-    nw = after - first
+    nw, key, at = after - first, g[first] & KEY_MASK, where[first] - first
+    if hot is not None and (apart := hot(key)).any():
+        count = nw[apart]
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        lone = np.repeat(first[apart], count) + step
+        first, nw = np.concatenate((first[~apart], lone)), np.concatenate((nw[~apart], np.ones(len(lone), np.int64)))
+        key = np.concatenate((key[~apart], range_hashes(h, lone, lone + length) & KEY_MASK))
+        at = np.concatenate((at[~apart], np.zeros(len(lone), np.int64)))
     own = np.searchsorted(offsets, first, "right") - 1
     out = np.empty(len(first), UNIT)
-    out["key"], out["doc"], out["tie"] = g[first] & KEY_MASK, doc[own], tie[own]
-    out["pos"], out["nw"], out["at"] = first - offsets[own], nw, where[first] - first
-    if rough:
-        end = first + nw + length - 1
-        out["ctx"] = _mix((h[end] - h[first]) * down[first])
-        return out
-    raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
-    out["ctx"] = np.fromiter((digest(raw[a:b]) for a, b in zip(first.tolist(), (first + nw + length - 1).tolist())), np.uint64, len(first))
-    return out
+    for name, value in zip(DOC, docs):
+        out[name] = value[own]
+    out["key"], out["pos"], out["nw"], out["at"] = key, first - offsets[own], nw, at
+    return out, range_hashes(h, first, first + nw + length - 1), first
 
 
-def windows_of(units: np.ndarray, data_of, length: int = LENGTH) -> np.ndarray:
-    """One unit for each window of each context, keyed by the window's own bytes."""
-    n = units["nw"].astype(np.int64)
-    out = np.repeat(units, n)
-    step = np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)
-    out["pos"] += step
-    out["nw"], out["at"] = 1, 0
-    digests = [xxhash.xxh3_128_intdigest(w) for w in data_of(out, length)]
-    out["ctx"] = np.array([d & _M64 for d in digests], np.uint64)
-    out["key"] = np.array([d >> 64 & int(KEY_MASK) for d in digests], np.uint64)
+def _same(u: np.ndarray, names) -> np.ndarray:
+    """Whether a row agrees with the one before it on some columns."""
+    out = np.zeros(len(u), bool)
+    if len(u) > 1:
+        out[1:] = np.logical_and.reduce([u[n][1:] == u[n][:-1] for n in names])
     return out
 
 
-def _order(units: np.ndarray) -> np.ndarray:
-    """Order by key and context, the earliest start first among equals."""
-    order = np.argsort(units["key"] ^ _mix(units["ctx"]), kind="stable")
-    u = units[order]
+def _order(units: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    """Order by key and context hash, the earliest start first among equals."""
+    order = np.argsort(units["key"] ^ _mix(ctx), kind="stable")
+    u, c = units[order], ctx[order]
     new = np.ones(len(u), bool)
-    new[1:] = (u["key"][1:] != u["key"][:-1]) | (u["ctx"][1:] != u["ctx"][:-1])
+    new[1:] = (u["key"][1:] != u["key"][:-1]) | (c[1:] != c[:-1])
     group = np.cumsum(new)
     many = np.flatnonzero(np.bincount(group)[group] > 1)
     if len(many):
         v = u[many]
-        order[many] = order[many][np.lexsort((v["pos"], v["tie"], v["doc"], v["ctx"], v["key"], group[many]))]
+        order[many] = order[many][np.lexsort((v["pos"], v["tb"], v["ta"], v["doc"], c[many], v["key"], group[many]))]
     return order
 
 
-def collapse(units: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(first units of equal contexts, the others): every window of the others starts earlier elsewhere."""
+def collapse(units: np.ndarray, ctx: np.ndarray, begin: np.ndarray, data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of first units, rows of others): every window of the others starts earlier in a first one.
+
+    Contexts with one key and hash are compared byte by byte (``begin``: where they stand in
+    ``data``) with the earliest of them; one that is unlike it stays a first one. Units that a
+    repeated row has again are in neither.
+    """
     if not len(units):
-        return units, units
-    u = units[_order(units)]
-    new = np.ones(len(u), bool)
-    new[1:] = (u["key"][1:] != u["key"][:-1]) | (u["ctx"][1:] != u["ctx"][:-1])
-    same = np.zeros(len(u), bool)  # a repeated row's own units
-    same[1:] = ~new[1:] & (u["doc"][1:] == u["doc"][:-1]) & (u["tie"][1:] == u["tie"][:-1]) & (u["pos"][1:] == u["pos"][:-1])
-    return u[new], u[~new & ~same]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = _order(units, ctx)
+    u, c = units[order], ctx[order]
+    alike = _same(u, ("key", "nw", "at"))
+    alike[1:] &= c[1:] == c[:-1]
+    again = alike & _same(u, (*DOC, "pos"))
+    lead = np.flatnonzero(~alike)[np.cumsum(~alike) - 1]
+    later = np.flatnonzero(alike & ~again)
+    equal = _equal_bytes(data, begin[order[later]], begin[order[lead[later]]], u["nw"][later].astype(np.int64) + length - 1)
+    first = ~alike
+    first[later[~equal]] = True
+    return order[first], order[later[equal]]
 
 
 def spans_of(units: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Whole contexts as spans (doc, tie, start, end), touching ones joined."""
-    return join_spans(units["doc"], units["tie"], units["pos"], units["pos"] + units["nw"] + length - 1)
-
+    """Whole contexts as spans, touching ones joined."""
+    return join_spans(tuple(units[n] for n in DOC), units["pos"], units["pos"] + units["nw"] + length - 1)
 
-SPAN = np.dtype([("doc", "i8"), ("tie", "u4"), ("start", "i8"), ("end", "i8")])
 
-
-def join_spans(doc, tie, start, end) -> np.ndarray:
-    order = np.lexsort((start, tie, doc))
-    doc, tie, start, end = doc[order], tie[order], start[order], end[order]
-    out = np.empty(len(doc), SPAN)
-    if not len(doc):
-        return out
+def join_spans(docs: tuple, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    order = np.lexsort((start, *docs[::-1]))
+    docs, start, end = tuple(d[order] for d in docs), start[order], end[order]
+    if not len(start):
+        return np.empty(0, SPAN)
     # ends grow by document: shift each document's places beyond those of the one before
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])
+    new = np.ones(len(start), bool)
+    new[1:] = np.logical_or.reduce([d[1:] != d[:-1] for d in docs])
     shift = np.cumsum(new) * (int(end.max()) + 2)
     reach = np.maximum.accumulate(end + shift)
-    cut = np.ones(len(doc), bool)
+    cut = np.ones(len(start), bool)
     cut[1:] = (start + shift)[1:] > reach[:-1]
     first = np.flatnonzero(cut)
-    last = np.append(first[1:], len(doc)) - 1
+    last = np.append(first[1:], len(start)) - 1
     out = np.empty(len(first), SPAN)
-    out["doc"], out["tie"], out["start"], out["end"] = doc[first], tie[first], start[first], (reach - shift)[last]
+    for name, d in zip(DOC, docs):
+        out[name] = d[first]
+    out["start"], out["end"] = start[first], (reach - shift)[last]
     return out
 
 
@@ -344,7 +359,7 @@ def repeated_windows(units: np.ndarray, data: np.ndarray, offsets: np.ndarray, l
             p, q = s.bytes_of(own[k - 1 - a]), s.bytes_of(own[k - a])
             lcp[k] = next((i for i, (c, d) in enumerate(zip(p, q)) if c != d), min(len(p), len(q)))
     rank = np.empty(n, np.int64)
-    rank[np.lexsort((units["pos"] + at, units["tie"], units["doc"]))] = np.arange(n)
+    rank[np.lexsort((units["pos"] + at, units["tb"], units["ta"], units["doc"]))] = np.arange(n)
     at_o, nw_o, rank_o, start_o = at[order], nw[order], rank[order], start[order]
     head = np.ones(n, bool)
     head[1:] = ~near
@@ -387,40 +402,131 @@ def repeated_windows(units: np.ndarray, data: np.ndarray, offsets: np.ndarray, l
 def flagged_spans(units: np.ndarray, flags: np.ndarray, length: int = LENGTH) -> np.ndarray:
     row, window = np.nonzero(flags)
     p = units["pos"][row] + window
-    return join_spans(units["doc"][row], units["tie"][row], p, p + length)
+    return join_spans(tuple(units[n][row] for n in DOC), p, p + length)
+
+
+class Meeting:
+    """Contexts of a bucket with their bytes, as they come: equal ones are collapsed each time the held bytes have doubled."""
+
+    def __init__(self, length: int = LENGTH, gram: int = GRAM):
+        self.length, self.gram = length, gram
+        self.units, self.ctx, self.texts, self.held, self.next = [], [], [], 0, SORT_HELD
+
+    def add(self, units: np.ndarray, text: bytes):
+        """Spans of what proved to start earlier."""
+        size = units["nw"].astype(np.int64) + self.length - 1
+        end = np.cumsum(size)
+        ctx, data = np.empty(len(units), np.uint64), np.frombuffer(text, np.uint8)
+        i = 0
+        while i < len(units):  # hashed in parts: prefix hashes are long
+            base = end[i] - size[i]
+            j = max(i + 1, int(np.searchsorted(end, base + BATCH, "right")))
+            ctx[i:j] = range_hashes(prefix_hashes(data[base : end[j - 1]]), end[i:j] - size[i:j] - base, end[i:j] - base)
+            i = j
+        self.units.append(units)
+        self.ctx.append(ctx)
+        self.texts.append(text)
+        self.held += len(text)
+        if self.held >= self.next:
+            yield self._collapse()
+            self.next = max(SORT_HELD, 2 * self.held)
+
+    def _collapse(self) -> np.ndarray:
+        u, ctx, raw = np.concatenate(self.units), np.concatenate(self.ctx), b"".join(self.texts)
+        size = u["nw"].astype(np.int64) + self.length - 1
+        begin = np.cumsum(size) - size
+        first, others = collapse(u, ctx, begin, np.frombuffer(raw, np.uint8), self.length)
+        spans = spans_of(u[others], self.length)
+        first = first[np.argsort(u["key"][first], kind="stable")]
+        text = b"".join(raw[a : a + n] for a, n in zip(begin[first].tolist(), size[first].tolist()))
+        self.units, self.ctx, self.texts, self.held = [u[first]], [ctx[first]], [text], len(text)
+        return spans
+
+    def finish(self):
+        """Spans of all that is left: whole contexts, then windows by the suffix sort, some groups at a time."""
+        if not self.units:
+            return
+        yield self._collapse()
+        u, data = self.units[0], np.frombuffer(self.texts[0], np.uint8)
+        end = np.cumsum(u["nw"].astype(np.int64) + self.length - 1)
+        edges = np.append(np.flatnonzero(~_same(u, ("key",))), len(u))
+        i = 0
+        while i < len(edges) - 1:
+            before = end[edges[i] - 1] if edges[i] else 0
+            j = max(i + 1, int(np.searchsorted(end[edges[1:] - 1], before + BATCH, "right")))
+            a, z = edges[i], edges[j]
+            off = np.concatenate(([0], end[a:z] - before))
+            yield flagged_spans(u[a:z], repeated_windows(u[a:z], data[before : end[z - 1]], off, self.length, self.gram), self.length)
+            i = j
+
+
+class Keys:
+    """Units of a bucket as they come: those whose key is met a second time, and that first one, are passed on."""
+
+    def __init__(self):
+        self.alone, self.many = np.zeros(0, UNIT), np.zeros(0, np.uint64)
+
+    def add(self, units: np.ndarray) -> np.ndarray:
+        u = np.concatenate((self.alone, units))
+        u = u[np.argsort(u["key"], kind="stable")]
+        near = _same(u, ("key",))
+        mixed = near.copy()
+        mixed[:-1] |= near[1:]
+        mixed |= np.isin(u["key"], self.many)
+        self.alone = u[~mixed]
+        self.many = np.union1d(self.many, u["key"][mixed])
+        return u[mixed]
 
 
 # the job
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc (a null id is the least long), tie (32 bits of the text's hash), t."""
-    t = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t"))
-    return t.select("id", F.coalesce("id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("t").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tie"), "t")
+def _keyed(docs: DataFrame, id_col: str, text_col: str, ties: bool, carry: tuple = ()) -> DataFrame:
+    """id, doc (a null id is the least long), ta, tb (of the text, where ids repeat), t and the struct ``carried``."""
+    more = [F.struct(*[docs[c] for c in carry]).alias("carried")] if carry else []
+    t = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(text_col).alias("t"), *more)
+    part = lambda k: (F.conv(F.substring(F.sha2("t", 256), k, 16), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
+    none = F.lit(0).cast("long")
+    return t.select("id", F.coalesce("id", F.lit(-(1 << 63))).alias("doc"), (part(1) if ties else none).alias("ta"), (part(17) if ties else none).alias("tb"), "t", *["carried"] * bool(carry))
 
 
-def _unit_batches(batches, length: int, gram: int, rough: bool = False):
-    """(units, bytes of the windows of some units) for slices of about a megabyte of text."""
+def _doc_columns(b: pa.RecordBatch) -> tuple:
+    return tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+
+
+def _unit_batches(batches, length: int, gram: int, hot=None):
+    """(units, their hashes, where they begin, text) for slices of about a megabyte of text."""
     for b in batches:
-        data, offsets = utf8_buffers(b.column(2))
-        doc, tie = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).astype(np.uint32)
+        data, offsets = utf8_buffers(b.column(3))
+        docs = _doc_columns(b)
         i = 0
-        n = len(doc)
-        while i < n:
+        while i < len(docs[0]):
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BATCH, "right")) - 1)
-            part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            units = contexts(part, off, doc[i:j], tie[i:j], length, gram, rough)
-            yield units, part, off, doc[i:j], tie[i:j]
+            part = data[offsets[i] : offsets[j]]
+            yield *contexts(part, offsets[i : j + 1] - offsets[i], tuple(d[i:j] for d in docs), length, gram, hot), part
             i = j
 
 
-def hot_grams(keyed: DataFrame, length: int, gram: int, hot: int) -> np.ndarray:
-    """Grams with about ``hot`` different contexts or more, whose windows are dealt out; at most MAX_HOT, the most frequent ones.
+def _buckets(batches, name: str = "bucket"):
+    """(bucket, rows of it) of batches sorted by bucket; the rows are iterated once."""
+    at, rows = None, []
+    for b in batches:
+        buckets = b.column(0).to_numpy(zero_copy_only=False)
+        cuts = [*np.flatnonzero(np.diff(buckets, prepend=buckets[:1] - 1)).tolist(), len(buckets)] if len(buckets) else []
+        for a, z in zip(cuts, cuts[1:]):
+            part = b.slice(a, z - a)
+            yield int(buckets[a]) != at, part
+            at = int(buckets[a])
+
+
+def hot_grams(keyed: DataFrame, length: int, gram: int, hot: int) -> bytes:
+    """Map (compressed bits) of the grams with about ``hot`` different contexts or more, whose windows are dealt out.
 
     Different contexts are counted by those whose hash falls in one of so many parts of the
     hash range, some 300 of them at the threshold: a context that recurs all over the corpus
-    counts once, and one that is alone in every task counts all the same. The choice decides
-    how windows are dealt and never which of them are compared.
+    counts once, and one that is alone in every task counts all the same. The map has HOT_BITS
+    bits; a gram that shares the bit of another is dealt out too. It decides how windows are
+    dealt and never which of them are compared.
     """
     every = 1 << max(0, (hot // 300).bit_length() - 1)
 
@@ -429,12 +535,12 @@ def hot_grams(keyed: DataFrame, length: int, gram: int, hot: int) -> np.ndarray:
 
         def flush():
             pairs = np.unique(np.concatenate(held))
-            return pa.RecordBatch.from_arrays([pa.array(pairs["key"].astype(np.int64)), pa.array(pairs["ctx"].astype(np.int64))], ["key", "ctx"])
+            return pa.RecordBatch.from_arrays([pa.array(pairs["key"].astype(np.int64)), pa.array(pairs["ctx"].view(np.int64))], ["key", "ctx"])
 
-        for units, *_ in _unit_batches(batches, length, gram, rough=True):
-            some = units[(units["ctx"] & np.uint64(every - 1)) == 0]
-            pairs = np.empty(len(some), [("key", "u8"), ("ctx", "u8")])
-            pairs["key"], pairs["ctx"] = some["key"], some["ctx"]
+        for units, ctx, *_ in _unit_batches(batches, length, gram):
+            some = (ctx & np.uint64(every - 1)) == 0
+            pairs = np.empty(int(some.sum()), [("key", "u8"), ("ctx", "u8")])
+            pairs["key"], pairs["ctx"] = units["key"][some], ctx[some]
             held.append(pairs)
             size += len(pairs)
             if size >= FLUSH:
@@ -443,98 +549,123 @@ def hot_grams(keyed: DataFrame, length: int, gram: int, hot: int) -> np.ndarray:
         if held:
             yield flush()
 
-    different = keyed.select("doc", "tie", "t").mapInArrow(run, "key long, ctx long").distinct()
-    counts = different.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.where(F.col("n") >= max(1, hot // every)).orderBy(F.desc("n"), "key").limit(MAX_HOT).collect()
-    return np.array(sorted(r["key"] for r in rows), np.uint64)
+    different = keyed.select(*DOC, "t").mapInArrow(run, "key long, ctx long").distinct()
+    counts = different.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(1, hot // every))
+    bit = F.pmod("key", F.lit(HOT_BITS))
+    words = counts.groupBy(F.floor(bit / 32).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(32)).cast("int"))).alias("m"))
+    found = np.zeros(HOT_BITS // 32, np.uint32)
+    for r in words.collect():  # at most HOT_BITS / 32 rows
+        found[r["w"]] = r["m"]
+    return zlib.compress(found.tobytes(), 1)
+
+
+def is_hot(bits: bytes):
+    """Test of keys by a map of hot grams; None for an empty map."""
+    words = np.frombuffer(zlib.decompress(bits), np.uint32)
+    if not words.any():
+        return None
+
+    def test(keys: np.ndarray) -> np.ndarray:
+        at = (keys % np.uint64(HOT_BITS)).astype(np.int64)
+        return (words[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+    return test
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """Spans (doc, tie, start, end) of bytes covered by windows that start earlier."""
+SPANS = "doc long, ta long, tb long, start long, end long"
+
+
+def _span_columns(spans: np.ndarray) -> list:
+    return [pa.array(np.ascontiguousarray(spans[n])) for n in SPAN.names]
+
+
+def repeated_spans(docs: DataFrame, ties: bool, n_bytes: int, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """Spans of bytes covered by windows that start earlier.
+
+    Contexts are dealt to buckets of about BUCKET units by their keys, and tasks take their
+    buckets one after another, so what a task holds doesn't grow with the corpus.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    tasks = 2 * partitions(spark)
-    buckets = 4 * tasks  # several a task, so that tasks get about as much each
-    keyed = _keyed(docs, id_col, text_col)
-    hot_keys = hot_grams(keyed, length, gram, hot)
-    span_kind = "doc long, tie long, start long, end long"
+    units = 2 * n_bytes // (length - gram + 2)  # a gram is least in about so many windows
+    tasks = max(2 * partitions(spark), -(-units // (BUCKET * BUCKETS_A_TASK)))
+    buckets = tasks * max(4, -(-units // (BUCKET * tasks)))
+    keyed = _keyed(docs, id_col, text_col, ties)
+    hot_bits = hot_grams(keyed, length, gram, hot)
 
-    def out_spans(spans: np.ndarray):
-        return [pa.array(spans["doc"]), pa.array(spans["tie"].astype(np.int64)), pa.array(spans["start"]), pa.array(spans["end"])]
+    def deal(df: DataFrame) -> DataFrame:
+        return df.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket")
 
     def scan(batches):
-        held, size = [], 0
+        held, size, place = [], 0, 0
 
         def flush():
-            first, others = collapse(np.concatenate(held), length)
+            u, ctx, begin = (np.concatenate([h[k] for h in held]) for k in range(3))
+            first, others = collapse(u, ctx, begin, np.concatenate([h[3] for h in held]), length)
             rows: list[list] = [[], [], []]
-            first = first[np.lexsort((first["pos"], first["doc"]))]
-            spans = spans_of(others, length)
+            spans, first = spans_of(u[others], length), u[np.sort(first)]
             for kind, arr, bucket in ((0, first, (first["key"] % np.uint64(buckets)).astype(np.int64)), (1, spans, spans["doc"] % buckets)):
                 for k, part in _by_bucket(arr, bucket):
                     for column, value in zip(rows, (k, kind, to_blob(part))):
                         column.append(value)
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())], ["bucket", "kind", "blob"])
-
-        for units, data, off, doc, tie in _unit_batches(batches, length, gram):
-            if len(hot_keys) and len(units):
-                is_hot = np.isin(units["key"], hot_keys)
-                if is_hot.any():
-                    where = {(d, t): int(o) for d, t, o in zip(doc.tolist(), tie.tolist(), off.tolist())}
-                    raw = data.tobytes()
-
-                    def cut(u, n, where=where, raw=raw):
-                        for d, t, p in zip(u["doc"].tolist(), u["tie"].tolist(), u["pos"].tolist()):
-                            a = where[d, t] + p
-                            yield raw[a : a + n]
-
-                    units = np.concatenate((units[~is_hot], windows_of(units[is_hot], cut, length)))
-            held.append(units)
-            size += len(units)
-            if size >= FLUSH:
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())], ["bucket", "kind", "blob"])
+
+        for u, ctx, begin, part in _unit_batches(batches, length, gram, is_hot(hot_bits)):
+            held.append((u, ctx, begin + place, part))
+            size, place = size + len(u), place + len(part)
+            if size >= FLUSH or place >= 64 * BATCH:
                 yield flush()
-                held, size = [], 0
+                held, size, place = [], 0, 0
         if held:
             yield flush()
 
+    names = ["kind", *SPAN.names, "at", "key"]
+
     def gather(batches):
-        units, spans = [], []
-        for b in batches:
+        keys, held, size = Keys(), [], 0
+
+        def asks():
+            found = keys.add(np.concatenate(held))
+            for k in range(0, len(found), 50_000):
+                u = found[k : k + 50_000]
+                columns = [np.zeros(len(u), np.int32), *(u[n] for n in DOC), u["pos"], u["nw"].astype(np.int64), u["at"].astype(np.int64), u["key"].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names)
+
+        for new, b in _buckets(batches):
+            if new:
+                if held:
+                    yield from asks()
+                keys, held, size = Keys(), [], 0
             for kind, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                (spans if kind else units).append(from_blob(blob, SPAN if kind else UNIT))
-        first, others = collapse(np.concatenate(units or [np.zeros(0, UNIT)]), length)
-        found = np.concatenate([spans_of(others, length), *spans])
-        first = first[np.argsort(first["key"], kind="stable")]
-        near = first["key"][1:] == first["key"][:-1]
-        mixed = np.zeros(len(first), bool)
-        mixed[1:] |= near
-        mixed[:-1] |= near
-        ask = first[mixed]
-        for kind, arr in ((1, found), (0, ask)):
-            for k in range(0, len(arr), 50_000):
-                part = arr[k : k + 50_000]
-                none = pa.nulls(len(part), pa.int64())
                 if kind:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), 1, np.int32)), *out_spans(part), none, none], ["kind", "doc", "tie", "start", "end", "at", "key"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part), np.int32)), pa.array(part["doc"]), pa.array(part["tie"].astype(np.int64)), pa.array(part["pos"]), pa.array(part["nw"].astype(np.int64)), pa.array(part["at"].astype(np.int64)), pa.array(part["key"].astype(np.int64))], ["kind", "doc", "tie", "start", "end", "at", "key"])
+                    spans = from_blob(blob, SPAN)
+                    none = pa.nulls(len(spans), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(spans), np.int32)), *_span_columns(spans), none, none], names)
+                    continue
+                held.append(from_blob(blob, UNIT))
+                size += len(held[-1])
+                if size >= 4 * BUCKET:
+                    yield from asks()
+                    held, size = [], 0
+        if held:
+            yield from asks()
 
-    dealt = keyed.select("doc", "tie", "t").mapInArrow(scan, "bucket int, kind int, blob binary").repartition(tasks, "bucket")
-    met = written(dealt.mapInArrow(gather, f"kind int, {span_kind}, at long, key long"), "contexts")
-    asked = met.where("kind = 0").groupBy("doc", "tie").agg(F.collect_list(F.struct(F.col("start").alias("pos"), F.col("end").alias("nw"), "at", "key")).alias("asked"))
+    dealt = deal(keyed.select(*DOC, "t").mapInArrow(scan, "bucket long, kind int, blob binary"))
+    met = written(dealt.mapInArrow(gather, f"kind int, {SPANS}, at long, key long"), "contexts")
+    asked = met.where("kind = 0").groupBy(*DOC).agg(F.collect_list(F.struct(F.col("start").alias("pos"), F.col("end").alias("nw"), "at", "key")).alias("asked"))
 
     def fetch(batches):
         for b in batches:
-            data, offsets = utf8_buffers(b.column(2))
-            lists = b.column(3)
+            data, offsets = utf8_buffers(b.column(3))
+            lists = b.column(4)
             at = lists.offsets.to_numpy().astype(np.int64)
-            at = at - at[0]
             flat = lists.flatten()
-            pos, nw, place, key = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("pos", "nw", "at", "key"))
+            pos, nw, place, key = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
             own = np.repeat(np.arange(len(lists)), np.diff(at))
             units = np.zeros(len(own), UNIT)
-            units["key"], units["doc"], units["tie"] = key.astype(np.uint64), b.column(0).to_numpy(zero_copy_only=False)[own], b.column(1).to_numpy(zero_copy_only=False)[own].astype(np.uint32)
-            units["pos"], units["nw"], units["at"] = pos, nw, place
+            for name, values in zip(DOC, _doc_columns(b)):
+                units[name] = values[own]
+            units["key"], units["pos"], units["nw"], units["at"] = key.astype(np.uint64), pos, nw, place
             begin = offsets[own] + pos
             raw = data.tobytes()
             bucket = (units["key"] % np.uint64(buckets)).astype(np.int64)
@@ -543,42 +674,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 text = b"".join(raw[p : p + int(w) + length - 1] for p, w in zip(begin[idx].tolist(), units["nw"][idx].tolist()))
                 for column, value in zip(rows, (k, to_blob(units[idx]), text)):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["bucket", "blob", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["bucket", "blob", "text"])
 
     def sort(batches):
-        units, texts = [], []
-        for b in batches:
-            units += [from_blob(x, UNIT) for x in b.column(1).to_pylist()]
-            texts += b.column(2).to_pylist()
-        if not units:
-            return
-        u, data = np.concatenate(units), np.frombuffer(b"".join(texts), np.uint8)
-        del units, texts
-        size = u["nw"].astype(np.int64) + length - 1
-        begin = np.cumsum(size) - size
-        order = np.lexsort((u["pos"], u["tie"], u["doc"], u["key"]))
-        same = np.ones(len(order), bool)
-        for name in ("key", "doc", "tie", "pos"):
-            same[1:] &= u[name][order][1:] == u[name][order][:-1]
-        same[0] = False
-        order = order[~same]  # a repeated row's own units
-        edges = np.flatnonzero(np.diff(u["key"][order], prepend=~u["key"][order[:1]]))
-        ends = np.append(edges[1:], len(order))
-        total = np.cumsum(size[order])
-        i = 0
-        while i < len(edges):
-            before = total[edges[i]] - size[order[edges[i]]]
-            j = max(i + 1, int(np.searchsorted(total[ends - 1], before + BATCH, "right")))
-            idx = order[edges[i] : ends[j - 1]]
-            off = np.concatenate(([0], np.cumsum(size[idx])))
-            take = np.arange(off[-1]) + np.repeat(begin[idx] - off[:-1], size[idx])
-            spans = flagged_spans(u[idx], repeated_windows(u[idx], data[take], off, length, gram), length)
-            yield pa.RecordBatch.from_arrays(out_spans(spans), ["doc", "tie", "start", "end"])
-            i = j
+        meeting = Meeting(length, gram)
+        out = lambda spans: pa.RecordBatch.from_arrays(_span_columns(spans), list(SPAN.names))
+        for new, b in _buckets(batches):
+            if new:
+                yield from map(out, meeting.finish())
+                meeting = Meeting(length, gram)
+            units, texts = [from_blob(x, UNIT) for x in b.column(1).to_pylist()], b.column(2).to_pylist()
+            yield from map(out, meeting.add(np.concatenate(units), b"".join(texts)))
+        yield from map(out, meeting.finish())
 
-    cut = keyed.join(asked, ["doc", "tie"]).select("doc", "tie", "t", "asked").mapInArrow(fetch, "bucket int, blob binary, text binary")
-    sorted_spans = written(cut.repartition(tasks, "bucket").mapInArrow(sort, span_kind), "spans")
-    return met.where("kind = 1").select("doc", "tie", "start", "end").unionByName(sorted_spans)
+    cut = keyed.join(asked, list(DOC)).select(*DOC, "t", "asked").mapInArrow(fetch, "bucket long, blob binary, text binary")
+    sorted_spans = written(deal(cut).mapInArrow(sort, SPANS), "spans")
+    return met.where("kind = 1").select(*SPAN.names).unionByName(sorted_spans)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = False, carry: tuple = ()) -> DataFrame:
@@ -592,11 +703,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and each of its rows gets the same answer. Texts shorter than ``length`` lose nothing, an
     empty table gives no rows, and other columns are ignored (``carry`` names some to keep).
     """
-    spans = repeated_spans(docs, id_col, text_col, length, gram, hot)
-    lists = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    texts = _keyed(docs, id_col, text_col) if not carry else docs.select(F.struct(*carry).alias("carried"), F.col(id_col).alias("id0"), F.col(text_col).alias("t0")).select("carried", F.col("id0").cast("long").alias("id"), F.coalesce(F.col("id0").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce("t0", F.lit("")).alias("t")).withColumn("tie", F.xxhash64("t").bitwiseAND(F.lit(0xFFFFFFFF)))
-    more = ["carried"] if carry else []
-    joined = texts.join(lists, ["doc", "tie"], "left").select("id", "t", "spans", *more)
+    per_id = docs.select(docs[id_col].alias("id"), F.octet_length(text_or_empty(text_col)).alias("n")).groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
+    most, n_bytes = per_id.agg(F.coalesce(F.max("rows"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    spans = repeated_spans(docs, most > 1, n_bytes, id_col, text_col, length, gram, hot)
+    lists = spans.groupBy(*DOC).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    joined = _keyed(docs, id_col, text_col, most > 1, carry).join(lists, list(DOC), "left").select("id", "t", "spans", *["carried"] * bool(carry))
 
     def cut(batches):
         for b in batches:
@@ -607,8 +718,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 rest, removed, runs = whole.tobytes(), 0, 0
                 if spans:
                     a = np.array([(s["start"], s["end"]) for s in spans], np.int64)
-                    none = np.zeros(len(a), np.int64)
-                    joined = join_spans(none, none.astype(np.uint32), a[:, 0], a[:, 1])
+                    joined = join_spans((np.zeros(len(a), np.int64),), a[:, 0], a[:, 1])
                     keep = np.ones(len(whole), bool)
                     for s, e in zip(joined["start"], joined["end"]):
                         keep[s:e] = False
