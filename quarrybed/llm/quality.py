@@ -7,11 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_share, slices, small_batches, utf8_buffers
+from .common import sample_share, slices, small_batches, text_or_empty, utf8_buffers
 from .language_id import held_out
 
-#: Labelled documents used for training at most, and lines of each (spread evenly over it).
-SAMPLE_ROWS, SAMPLE_LINES = 4000, 60
+#: The sample that is learned from: labelled documents and their lines at most. Documents are taken whole, in runs of so many neighbouring lines.
+SAMPLE_ROWS, SAMPLE_LINES, RUN = 4000, 200_000, 64
+#: Share of a document's length that its label speaks for at least, rounds of learning lines' labels, and steps in each.
+SPOKEN, PHASES, STEPS = 0.9, 4, 60
 THRESHOLD = 0.3
 NAMES = ("upper", "symbol", "bar", "digit", "other", "space", "repeat", "near_repeat", "seen", "length", "word", "tail")
 _UPPER, _SYMBOL, _BAR, _DIGIT, _OTHER, _SPACE = range(6)
@@ -146,24 +148,61 @@ class LineField:
         f, b = self.messages(doc, x @ self.w)
         return 1 / (1 + np.exp(-np.clip(f + b, -40, 40)))
 
-    def fit(self, doc: np.ndarray, x: np.ndarray, y: np.ndarray, rounds: int = 240, rate: float = 0.3, ridge: float = 3e-5) -> LineField:
-        """Conditional likelihood of the lines' labels, by Adam over the whole sample."""
+    def _pairs(self, e: np.ndarray, f: np.ndarray, b: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Expected numbers of neighbours labelled i and j."""
+        left, right = f[pair], e[pair + 1] + b[pair + 1]
+        joint = np.stack([self.a[u, v] + u * left + v * right for u in (0, 1) for v in (0, 1)])
+        joint -= joint.max(axis=0, initial=-np.inf)
+        joint = np.exp(joint)
+        return (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
+
+    @staticmethod
+    def _logistic(x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+    def expected_labels(self, run: np.ndarray, doc: np.ndarray, e: np.ndarray, weight: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Marginals of the lines, and of neighbours, nearest to the field's under which SPOKEN of each document's length agrees with its label.
+
+        Lines are hidden: only documents are labelled. The nearest distribution shifts the
+        log-odds of a document's lines alike, by as little as will do, which bisection finds.
+        """
+        pair = np.flatnonzero(run[1:] == run[:-1])
+        n = len(y)
+        whole = np.bincount(doc, weights=weight, minlength=n)
+        low, high, shift = np.zeros(n), np.full(n, 24.0), np.zeros(n)
+        sign = np.where(y == 1, 1.0, -1.0)
+        for k in range(14):
+            f, b = self.messages(run, e + (sign * shift)[doc])
+            p = self._logistic(f + b)
+            agree = np.bincount(doc, weights=np.where(y[doc] == 1, p, 1 - p) * weight, minlength=n) / whole
+            enough = agree >= SPOKEN
+            if k == 0:
+                done = enough  # as it is
+            high, low = np.where(enough, shift, high), np.where(enough, low, shift)
+            shift = np.where(done, 0.0, (low + high) / 2)
+        shifted = e + (sign * np.where(done, 0.0, high))[doc]
+        f, b = self.messages(run, shifted)
+        return self._logistic(f + b), self._pairs(shifted, f, b, pair)
+
+    def fit(self, run: np.ndarray, doc: np.ndarray, x: np.ndarray, weight: np.ndarray, y: np.ndarray, rate: float = 0.3, ridge: float = 3e-5) -> LineField:
+        """Expectation and maximisation: hidden labels of lines given their documents', then conditional likelihood by Adam.
+
+        ``run`` and ``doc`` number the chain and document of each line, ``y`` has a label for
+        each document. At first a line has its document's label.
+        """
         x = x.astype(np.float64)
-        pair = np.flatnonzero(doc[1:] == doc[:-1])
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (y[pair], y[pair + 1]), 1)
-        n = len(np.unique(doc))
+        pair = np.flatnonzero(run[1:] == run[:-1])
+        wanted, seen = y[doc].astype(np.float64), np.zeros((2, 2))
+        np.add.at(seen, (y[doc][pair], y[doc][pair + 1]), 1)
+        n = len(y)
         m, s = np.zeros(x.shape[1] + 4), np.zeros(x.shape[1] + 4)
-        for i in range(1, rounds + 1):
+        for i in range(1, PHASES * STEPS + 1):
             e = x @ self.w
-            f, b = self.messages(doc, e)
-            p = 1 / (1 + np.exp(-np.clip(f + b, -40, 40)))
-            left, right = f[pair], e[pair + 1] + b[pair + 1]
-            joint = np.stack([self.a[u, v] + u * left + v * right for u in (0, 1) for v in (0, 1)])
-            joint -= joint.max(axis=0)
-            joint = np.exp(joint)
-            joint /= joint.sum(axis=0)
-            g = np.concatenate(((y - p) @ x - ridge * n * self.w, (seen - joint.sum(axis=1).reshape(2, 2) - ridge * n * self.a).ravel())) / n
+            if i > 1 and i % STEPS == 1:
+                wanted, seen = self.expected_labels(run, doc, e, weight, y)
+            f, b = self.messages(run, e)
+            p = self._logistic(f + b)
+            g = np.concatenate(((wanted - p) @ x - ridge * n * self.w, (seen - self._pairs(e, f, b, pair) - ridge * n * self.a).ravel())) / n
             m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
             step = rate * (m / (1 - 0.9**i)) / (np.sqrt(s / (1 - 0.99**i)) + 1e-9)
             self.w += step[:-4]
@@ -182,51 +221,61 @@ class LineField:
 WIDTH = 3 * len(NAMES) + 3
 
 
-def training_lines(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, features, label) of lines of a bounded sample of labelled documents that are not held out.
+def training_lines(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int = SAMPLE_ROWS, lines: int = SAMPLE_LINES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(run, document, features, length) of all lines of a bounded sample of labelled documents that are not held out, and the documents' labels.
 
-    The sample is the first ``rows`` labels by a hash of the id; a broadcast of at most so many
-    ids picks their documents, whose lines become features where they lie.
+    The sample is the first ``rows`` labels by a hash of the id, as far as their documents have
+    ``lines`` lines together; a broadcast of at most so many ids picks the documents, whose
+    lines become features where they lie. Of texts that share an id the longest is taken.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 5, 0)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     few = known.where(sample_share(F.xxhash64("doc_id"), known, rows))
     some = few.select(F.col("doc_id").alias("k"), F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("k"), "k").limit(rows)
-    picked = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(some), "k").select("k", "y", "t")
+    texts = docs.select(F.col(id_col).cast("long").alias("k"), text_or_empty(text_col).alias("t"))
+    size = F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit(""))) + 1
+    counted = texts.join(F.broadcast(some), "k").groupBy("k", "y").agg(F.max(size).cast("long").alias("n")).orderBy(F.xxhash64("k"), "k").collect()  # a row for each of at most ``rows`` labels
+    taken = [(r["k"], r["y"]) for r, total in zip(counted, np.cumsum([r["n"] for r in counted])) if total <= lines]
+    if not taken:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros((0, WIDTH), np.float32), none, none
+    chosen = docs.sparkSession.createDataFrame(taken, "k long, y int")
+    whole = texts.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.max(F.struct(size.alias("n"), "t")).alias("best"))
 
     def run(batches):
         for b in batches:
             data, offsets = utf8_buffers(b.column(2))
-            out = []
+            out, sizes = [], []
             for i, j in slices(offsets, 1 << 20):
-                part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                doc, _, x = line_features(part, off)
+                doc, n, x = line_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 full = with_neighbours(doc, x)
                 for k in range(j - i):
                     a, z = np.searchsorted(doc, (k, k + 1))
-                    take = np.unique(np.linspace(a, z - 1, min(SAMPLE_LINES, z - a)).astype(int))
-                    out.append(full[take].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["k", "y", "x"])
+                    out.append(full[a:z].tobytes())
+                    sizes.append(np.maximum(n[a:z], 1).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary()), pa.array(sizes, pa.binary())], ["k", "y", "x", "n"])
 
-    found = sorted(picked.mapInArrow(run, "k long, y int, x binary").collect(), key=lambda r: (r["k"], bytes(r["x"])))
+    found = sorted(whole.select("k", "y", "best.t").mapInArrow(run, "k long, y int, x binary, n binary").collect(), key=lambda r: r["k"])
     blocks = [np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH) for r in found]
-    doc = np.repeat(np.arange(len(blocks)), [len(x) for x in blocks])
-    y = np.repeat(np.array([int(r["y"] == 1) for r in found], np.int64), [len(x) for x in blocks])
-    return doc, np.concatenate(blocks) if blocks else np.zeros((0, WIDTH), np.float32), y
+    count = np.array([len(x) for x in blocks])
+    doc = np.repeat(np.arange(len(blocks)), count)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    return np.cumsum(place % RUN == 0), doc, np.concatenate(blocks), np.concatenate([np.frombuffer(r["n"], np.float64) for r in found]), np.array([int(r["y"] == 1) for r in found], np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> LineField:
-    """A field learned from labelled documents; without any, one that gives every text 0.5."""
+    """A field learned from a bounded sample of whole labelled documents (see ``training_lines``); without any, one that gives every text 0.5."""
     small_batches(docs.sparkSession)
-    doc, x, y = training_lines(docs, labels, id_col, text_col, rows)
+    run, doc, x, weight, y = training_lines(docs, labels, id_col, text_col, rows)
     field = LineField(WIDTH)
-    return field.fit(doc, x, y) if len(doc) else field
+    return field.fit(run, doc, x, weight, y) if len(doc) else field
 
 
 def score(docs: DataFrame, field: LineField, id_col: str = "doc_id", text_col: str = "text", carry: tuple = (), threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: id, held_out, score (probability of good), predicted (score >= threshold).
 
-    A null text counts as empty: one empty line. Each row stands alone: repeated rows repeat,
-    an empty table gives no rows. ``carry`` keeps other columns, in a struct ``carried``.
+    A null text counts as empty: one empty line. Whole texts count, however long. Each row
+    stands alone: repeated rows repeat, an empty table gives no rows, and other columns are
+    ignored, whatever their names. ``carry`` keeps other columns, in a struct ``carried``.
     """
     small_batches(docs.sparkSession)
 
