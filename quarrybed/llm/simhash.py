@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, text_or_empty, written
+from .common import hot_join, partitions, small_batches, text_or_empty, written
 from .components import connected_components
 
 SEED, BITS = 42, 64
@@ -196,15 +196,22 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and blank texts have fingerprint zero and link like any other. Rows with one
     fingerprint are one point, so groups of copies never meet pairwise. A null id takes part
     with its text, but a component is named by its smallest id that is not null (null if
-    there is none). Repeated rows repeat in the result. Other columns are ignored.
+    there is none). Repeated rows repeat in the result; a very long text is read whole. An
+    empty table gives no rows. Other columns are ignored, whatever their names. A fingerprint
+    or component with a large share of all rows is joined by broadcast, the others by shuffle.
     """
     fps = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    points = written(fps.groupBy("fp").agg(F.min("id").alias("rep")), "points")
-    links = grid_join(points, radius, spare_blocks(points.count(), radius) if spare is None else spare)
+    points = written(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")), "points")
+    n_points, n_rows = points.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    links = grid_join(points.select("fp"), radius, spare_blocks(n_points, radius) if spare is None else spare)
     # the nodes of the components are fingerprints; their names come afterwards
     parts = connected_components(links.select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v")))
-    named = points.join(parts, points.fp == parts.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labels = named.join(names, "component").select("fp", "component_id")
-    out = fps.join(labels, "fp")
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = written(points.join(parts, points.fp == parts.node).select("fp", "rep", "rows", "component"), "linked")
+    roots = points.join(linked.select(F.col("component").alias("fp")).distinct(), "fp").select("fp", "rep", "rows", F.col("fp").alias("component"))
+    linked = linked.unionByName(roots)  # components come without their smallest node
+    names = written(linked.groupBy(F.col("component").alias("part")).agg(F.min("rep").alias("name"), F.count(F.lit(1)).alias("size")), "names")
+    named = hot_join(linked, names, [("component", "part")], "size", n_points).select(F.col("fp").alias("fp0"), "name", "rows")
+    alone = points.join(named.select(F.col("fp0").alias("fp")), "fp", "left_anti").select(F.col("fp").alias("fp0"), F.col("rep").alias("name"), "rows")
+    labels = written(named.unionByName(alone), "labels")
+    out = hot_join(fps, labels, [("fp", "fp0")], "rows", n_rows)
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("name").alias("component_id"))
