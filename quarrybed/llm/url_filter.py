@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import hot_join, written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The filter never exceeds so many 64-bit words; beyond that more hits pass on to the exact join.
-MAX_WORDS = 4096
+#: 64-bit words of the filter at most: half a megabyte, four keys a word up to a quarter of a million of them. Of longer lists more keys pass on to the exact join.
+MAX_WORDS = 65536
 #: Rules up to this many are joined by broadcast; more by shuffle.
 BROADCAST_RULES = 100_000
+RULE_KIND = "array<struct<verdict:string,rule_host:string,rule_path:string>>"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -22,9 +25,9 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """(verdict, host, path) triples as a table: key, rule_host, rule_path, verdict."""
+    """(verdict, host, path) triples as a table: rule, rule_host, rule_path, verdict. There may be none."""
     rows = [F.struct(F.lit(v).alias("verdict"), F.lit(h).alias("rule_host"), F.lit(p).alias("rule_path")) for v, h, p in rules]
-    return spark.range(1).select(F.inline(F.array(*rows))).withColumn("rule", F.concat("rule_host", "rule_path"))
+    return spark.range(1).select(F.inline(F.array(*rows).cast(RULE_KIND))).withColumn("rule", F.concat("rule_host", "rule_path"))
 
 
 def _mask(h: Column) -> Column:
@@ -59,29 +62,31 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
 
     ``rules`` has verdict, rule_host, rule_path, rule: the listed canonical URLs. A rule fits
     its host and all subdomains, if the path starts with the rule's; the longest (host and
-    path together, then host) wins. A URL with no listed key gets ``otherwise``. For each
-    distinct (host, path), the keys a rule could have (suffixes of the host, prefixes of the
-    path at the lengths that rules have) pass the Bloom filter, and what it passes meets the
-    rules in an exact hash join; so a hot host is one row a map task. A null url, or one
-    without ://, has an empty host and path and fits no rule. Repeated pages repeat; an empty
-    table gives no rows; columns of pages that bear the result's names are replaced.
+    path together, then host, then in order of verdicts, block first) wins. A URL with no listed key gets ``otherwise``. For each
+    distinct (host, path), the keys a rule could have (suffixes of the host with as many
+    labels and prefixes of the path of such lengths as rules have) pass the Bloom filter, and
+    what it passes meets the rules in an exact hash join; so a hot host is one row a map task,
+    and a very long host or path costs no more than the rules' own sizes. A (host, path) with a large share of the
+    pages is joined apart. A null url, or one without ://, has an empty host and path and fits
+    no rule. Repeated pages repeat; an empty table gives no rows, an empty list ``otherwise``;
+    columns of pages that bear the result's names are replaced.
     """
     host, path = host_and_path(F.col(url_col))
     parsed = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    known = rules.agg(F.count(F.lit(1)), F.collect_set(F.length("rule_path"))).first()
-    lengths = sorted(known[1])
-    if len(lengths) > 4096:
-        raise ValueError("rule paths of over 4096 lengths")
+    known = rules.agg(F.count(F.lit(1)), F.collect_set(F.length("rule_path")), F.collect_set(F.size(F.split("rule_host", r"\.", -1)))).first()
+    lengths, sizes = sorted(known[1]), sorted(known[2])
     words = bloom_words(rules, "rule", known[0])
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    prefixes = F.array_distinct(F.transform(F.filter(F.array(*[F.lit(n) for n in lengths] or [F.lit(0)]), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n)))
+    labels = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1
+    suffixes = F.transform(F.filter(F.array(*[F.lit(n) for n in sizes]).cast("array<int>"), lambda k: k <= labels), lambda k: F.call_function("substring_index", F.col("host"), F.lit("."), -k))
+    prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(s.alias("rule_host"), p.alias("rule_path")))))
-    distinct = parsed.select("host", "path").where("host != ''").distinct()
-    possible = distinct.select("host", "path", F.inline(F.filter(keys, lambda k: _may_hold(words, F.concat(k.rule_host, k.rule_path)))))
+    counted = written(parsed.groupBy("host", "path").agg(F.count(F.lit(1)).alias("rows")), "urls")
+    possible = counted.where("host != ''").select("host", "path", "rows", F.inline(F.filter(keys, lambda k: _may_hold(words, F.concat(k.rule_host, k.rule_path)))))
     exact = F.broadcast(rules) if known[0] <= BROADCAST_RULES else rules
     found = possible.join(exact, ["rule_host", "rule_path"])
-    best = found.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), F.length("rule_host").alias("m"), "rule", "verdict")).alias("best"))
-    best = best.select(F.col("host").alias("h"), F.col("path").alias("p"), "best.rule", "best.verdict")
-    out = parsed.join(best, (parsed.host == best.h) & (parsed.path == best.p), "left")
+    order = F.struct(F.length("rule").alias("n"), F.length("rule_host").alias("m"), "verdict", "rule")
+    best = found.groupBy("host", "path", "rows").agg(F.max(order).alias("best"))
+    best = best.select(F.col("host").alias("h"), F.col("path").alias("p"), "rows", "best.rule", "best.verdict")
+    total = counted.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    out = hot_join(parsed, written(best, "verdicts"), [("host", "h"), ("path", "p")], "rows", total, "left")
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(otherwise)).alias("verdict"))
