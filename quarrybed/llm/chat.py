@@ -5,34 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turns of a conversation handled in one window or rendered in one row.
+from .common import hot_join, partitions, written
+
+#: Turns of a conversation rendered in one row.
 BLOCK = 1024
+ORDER = ["turn", "role", "sha", "tie"]
 
 
-def prefix_hashes(turns: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Turns with pos (from 1), n (turns of the conversation) and the rolling hash pair px, py.
+def prefix_hashes(turns: DataFrame) -> DataFrame:
+    """Turns with pos (from 1), n (turns of the conversation) and the rolling hash pair px, py; a written table.
 
-    The order is turn, role, text. A conversation is cut into blocks of turn numbers; counts
-    and hashes are accumulated in a block, then over blocks, so no task needs a whole long
-    conversation. The rolling hash is the exclusive or of two 64-bit hashes of (pos, role,
-    text) each: 128 bits that depend on the order.
+    The order is turn, role, SHA-256 of the text. All turns are dealt by ranges of conversation
+    and order; counts and hashes are accumulated in a range, then over the few ranges that a
+    conversation spans, so no task needs a whole long conversation, or all turns of one
+    number. The rolling hash is the exclusive or of two 64-bit hashes of (pos, role, text)
+    each: 128 bits that depend on the order.
     """
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))))
-    local = t.withColumn("i", F.row_number().over(Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")))
-    sizes = local.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("size"))
-    by_block = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.coalesce(F.sum("size").over(by_block), F.lit(0)).alias("before"), F.sum("size").over(Window.partitionBy("conv_id")).alias("n"))
-    same = lambda c, b: local.conv_id.eqNullSafe(c) & (local.block == b)
-    placed = local.join(sizes, same(sizes.c, sizes.b)).drop("c", "b").withColumn("pos", F.col("before") + F.col("i"))
-    placed = placed.withColumn("hx", F.xxhash64("pos", "role", "text")).withColumn("hy", F.xxhash64(F.lit("second"), "text", "pos", "role"))
-    run = Window.partitionBy("conv_id", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    inner = placed.withColumn("lx", F.bit_xor("hx").over(run)).withColumn("ly", F.bit_xor("hy").over(run))
-    totals = inner.groupBy("conv_id", "block").agg(F.bit_xor("hx").alias("tx"), F.bit_xor("hy").alias("ty"))
+    t = t.withColumn("sha", F.unhex(F.sha2("text", 256))).withColumn("tie", F.monotonically_increasing_id())
+    t = t.repartitionByRange(partitions(turns.sparkSession), "conv_id", *ORDER).withColumn("range", F.spark_partition_id())
+    t = written(t, "turns")  # once: the ranges come from a sample
+    same = lambda a, b: a.conv_id.eqNullSafe(b.c) & (a.range == b.r)
+    by_range = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    totals = totals.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.coalesce(F.bit_xor("tx").over(by_block), zero).alias("bx"), F.coalesce(F.bit_xor("ty").over(by_block), zero).alias("by"))
-    out = inner.join(totals, inner.conv_id.eqNullSafe(totals.c) & (inner.block == totals.b))
-    return out.select("conv_id", "turn", "role", "text", "pos", "n", F.col("lx").bitwiseXOR(F.col("bx")).alias("px"), F.col("ly").bitwiseXOR(F.col("by")).alias("py"))
+    sizes = t.groupBy("conv_id", "range").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.select(F.col("conv_id").alias("c"), F.col("range").alias("r"), F.coalesce(F.sum("size").over(by_range), zero).alias("before"), F.sum("size").over(Window.partitionBy("conv_id")).alias("n"))
+    local = t.withColumn("i", F.row_number().over(Window.partitionBy("conv_id", "range").orderBy(*ORDER)))
+    placed = local.join(sizes, same(local, sizes)).withColumn("pos", F.col("before") + F.col("i"))
+    placed = placed.select("conv_id", "range", "turn", "role", "text", "pos", "n", F.xxhash64("pos", "role", "text").alias("hx"), F.xxhash64(F.lit("second"), "text", "pos", "role").alias("hy"))
+    run = Window.partitionBy("conv_id", "range").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    inner = written(placed.withColumn("lx", F.bit_xor("hx").over(run)).withColumn("ly", F.bit_xor("hy").over(run)), "placed")
+    totals = inner.groupBy("conv_id", "range").agg(F.bit_xor("hx").alias("tx"), F.bit_xor("hy").alias("ty"))
+    totals = totals.select(F.col("conv_id").alias("c"), F.col("range").alias("r"), F.coalesce(F.bit_xor("tx").over(by_range), zero).alias("bx"), F.coalesce(F.bit_xor("ty").over(by_range), zero).alias("by"))
+    out = inner.join(totals, same(inner, totals))
+    return written(out.select("conv_id", "turn", "role", "text", "pos", "n", F.col("lx").bitwiseXOR(F.col("bx")).alias("px"), F.col("ly").bitwiseXOR(F.col("by")).alias("py")), "hashed")
 
 
 def maximal_conversations(hashed: DataFrame) -> DataFrame:
@@ -48,15 +54,17 @@ def format_chats(turns: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Conversations whose turns (role and text in order) begin a longer one are dropped, as are
     repeats but for the smallest conv_id. Each turn is ``<|role|>`` and its text on lines of
-    their own, ended by ``<|end|>``; part p has turns p * block + 1 and on, so a very long
-    conversation is several rows. A null role or text counts as empty; turns with a null
-    number come first; rows with a null conv_id form one conversation, which loses to any
-    other with the same turns. Repeated rows are turns that repeat. An empty table gives no
-    rows; other columns are ignored.
+    their own, ended by ``<|end|>``. A row holds ``block`` turns: part p has turns
+    p * block + 1 and on, and the parts end to end are the conversation, whatever its length.
+    A null role or text counts as empty; turns with a null number come first, turns with one number and role
+    in the order of their texts' SHA-256; rows with a null conv_id form one conversation, which
+    loses to any other with the same turns. Repeated rows are turns that repeat. An empty table
+    gives no rows; other columns are ignored, whatever their names.
     """
-    hashed = prefix_hashes(turns, block)
-    kept = maximal_conversations(hashed).select(F.col("conv_id").alias("c"), F.lit(True).alias("hit"))
-    live = hashed.join(kept, hashed.conv_id.eqNullSafe(kept.c), "left_semi")
+    hashed = prefix_hashes(turns)
+    name, none = F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.col("conv_id").isNull()
+    kept = written(maximal_conversations(hashed).select(name.alias("c"), none.alias("cn"), F.col("n").alias("rows")), "maximal")
+    live = hot_join(hashed.withColumn("k", name).withColumn("kn", none), kept, [("k", "c"), ("kn", "cn")], "rows", hashed.count())
     line = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("<|end|>\n"))
     parts = live.groupBy("conv_id", F.floor((F.col("pos") - 1) / block).alias("part"))
     out = parts.agg(F.max("n").alias("n_turns"), F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("lines"))
