@@ -149,29 +149,11 @@ class SumOfSquares:
             self.open[at + size].append(which)
         return which, at
 
-    def merge_rests(self) -> dict[int, tuple[int, int]]:
-        """Join windows still open at the end, fullest first into the fullest that has room: window -> (new window, shift)."""
-        moved, rooms = {}, []
-        for level in range(self.window - 1, 0, -1):
-            for which in self.open[level]:
-                fit = max((r for r in rooms if r[0] + level <= self.window), default=None)
-                if fit is None:
-                    rooms.append([level, which])
-                else:
-                    moved[which] = (fit[1], fit[0])
-                    fit[0] += level
-        return moved
-
 
 def pack_lane(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Windows and offsets of pieces, in the order given."""
     packer = SumOfSquares(window)
     placed = np.array([packer.place(int(n)) for n in lengths], np.int64).reshape(-1, 2)
-    moved = packer.merge_rests()
-    for i, (which, at) in enumerate(placed):
-        if which in moved:
-            new, shift = moved[which]
-            placed[i] = new, at + shift
     return placed[:, 0], placed[:, 1]
 
 
@@ -180,9 +162,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     A document is its ids and the end id; null text counts as empty, so it is the end id
     alone. Whole windows are cut from its start and fill a sequence each; the rest is packed.
-    Pieces are dealt to ceil(pieces / lane) lanes by a hash of the id and the start, packed in
-    the order of id and start. Repeated rows are packed as often as they occur. An empty table
-    gives no rows; other columns are ignored.
+    Pieces are dealt to ceil(pieces / lane) lanes by a hash of the id, the start and the ids, packed in
+    the order of id and start (a null id first); of levels with one cost the fuller wins.
+    Repeated rows are packed as often as they occur; they share a lane, which grows with them.
+    A very long text is encoded whole. An empty table gives no rows; other columns are
+    ignored, whatever their names.
     """
     cut = written(pieces(docs, tokenizer, id_col, text_col, window, end_id), "pieces")
     lanes = max(1, -(-cut.count() // lane))
