@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, text_or_empty
 
 FRAME, RATE, PAD = 576, 8000, 255
-#: Frames ahead in which a peak is paired, and peaks a frame.
-AHEAD, PEAKS = 3, 2
+#: Samples from one frame to the next, frames ahead in which a peak is paired, peaks a frame, and the least share of a frame's largest magnitude that a peak has.
+HOP, AHEAD, PEAKS, FLOOR = 288, 4, 2, 1e-3
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
@@ -43,19 +43,20 @@ def from_wav(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
-def peaks(samples: np.ndarray, frame: int = FRAME, count: int = PEAKS) -> np.ndarray:
+def peaks(samples: np.ndarray, frame: int = FRAME, hop: int = HOP, count: int = PEAKS) -> np.ndarray:
     """Bins of the strongest local maxima of each frame's spectrum: frames x count, strongest first, -1 for none.
 
-    The transform is short-time: frames of ``frame`` samples, Hann window, real FFT, a block
-    of frames at a time. Bin 0 (the mean) never counts; of equal magnitudes the lower bin leads.
+    The transform is short-time: frames of ``frame`` samples that overlap by half, Hann
+    window, real FFT, a block of frames at a time. Bin 0 (the mean) never counts, nor what is
+    under FLOOR of the frame's largest magnitude; of equal magnitudes the lower bin leads.
     """
     out = []
-    frames = samples.reshape(-1, frame)
+    frames = np.lib.stride_tricks.sliding_window_view(samples, frame)[::hop]
     for k in range(0, len(frames), 512):
         x = frames[k : k + 512].astype(np.float32) - 128
         power = np.abs(np.fft.rfft(x * _WINDOW, axis=1)).astype(np.float32)
         inner = power[:, 1:-1]
-        top = np.where((inner > power[:, :-2]) & (inner >= power[:, 2:]), inner, -1)
+        top = np.where((inner > power[:, :-2]) & (inner >= power[:, 2:]) & (inner >= FLOOR * power.max(axis=1, keepdims=True)), inner, -1)
         found = np.empty((len(x), count), np.int64)
         rows = np.arange(len(x))
         for j in range(count):
@@ -69,20 +70,19 @@ def peaks(samples: np.ndarray, frame: int = FRAME, count: int = PEAKS) -> np.nda
 def landmarks(samples: np.ndarray) -> np.ndarray:
     """Time-coded pairs of peaks: time << 32 | bin << 20 | later bin << 8 | frames between.
 
-    Each peak is paired with the strongest peak of each of the next frames, and the two
-    strongest of a frame with each other (no frames between), so that one frame has a pair too.
+    Each peak of a frame is paired with each peak of the next AHEAD frames, and the two of a
+    frame with each other (no frames between), so that one frame has a pair too.
     """
     p = peaks(samples)
     t = np.flatnonzero((p >= 0).all(axis=1))
     out = [t << 32 | p[t, 0] << 20 | p[t, 1] << 8]
-    for gap in range(1, AHEAD + 1):
-        if len(p) <= gap:
-            break
+    for gap in range(1, min(AHEAD, len(p) - 1) + 1):
         t = np.arange(len(p) - gap)
-        for j in range(PEAKS):
-            a, b = p[:-gap, j], p[gap:, 0]
-            good = (a >= 0) & (b >= 0)
-            out.append((t << 32 | a << 20 | b << 8 | gap)[good])
+        for i in range(PEAKS):
+            for j in range(PEAKS):
+                a, b = p[:-gap, i], p[gap:, j]
+                good = (a >= 0) & (b >= 0)
+                out.append((t << 32 | a << 20 | b << 8 | gap)[good])
     return np.sort(np.concatenate(out))
 
 
@@ -91,8 +91,9 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The payload is the text's UTF-8 with 255 appended up to a positive multiple of 576; its
     columns are computed from the samples that the wave module reads out of ``media``. A null
-    text counts as empty (one frame of padding). Equal texts give equal values, repeated rows
-    repeat, an empty table gives no rows and other columns are ignored.
+    text counts as empty (one frame of padding, which has no peaks). Equal texts give equal
+    values, repeated rows repeat, a very long text is one medium, an empty table gives no rows
+    and other columns are ignored, whatever their names.
     """
     small_batches(docs.sparkSession, 1000)
 

@@ -8,17 +8,19 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from quarrybed.llm import bpe, media, packing
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["", None, "a", "x" * 576, "é" * 400, "The cat's 123 dogs,  \n\n and 'll <|endoftext|> ... --- ===", "日本語🙂" * 30, "İSTANBUL ΣΑΣ Straße", " " * 700 + "end", "a\x1cb\u2028c"]
 KIND = "doc_id long, text string, t int, id string"
+CLASHES = ("start", "length", "offset", "lane", "ids_crc32", "media", "landmarks", "n_bytes", "ids", "decoded", "n_tokens", "sequence_id")
+TEXTS = ["", None, "a", "x" * 576, "é" * 400, "The cat's 123 dogs,  \n\n and 'll <|endoftext|> ... --- ===", "日本語🙂" * 30, "İSTANBUL ΣΑΣ Straße", " " * 700 + "end", "a\x1cb\u2028c", "a long text, with words " * 20_000]
 
 
 def frame(spark, texts=TEXTS):
-    return spark.createDataFrame([(k, t, 1, "z") for k, t in enumerate(texts)], KIND)
+    return spark.createDataFrame([(k, t, 1, "z") for k, t in enumerate(texts)], KIND).withColumns({c: F.lit("clash") for c in CLASHES})
 
 
 @pytest.fixture(scope="module")
@@ -45,7 +47,34 @@ def test_landmarks_follow_a_tone():
     t = np.arange(576 * 4)
     wave = np.round(128 + 100 * np.sin(2 * np.pi * 40 * t / 576)).astype(np.uint8)
     marks = media.landmarks(wave)
-    assert {(m >> 20) & 0xFFF for m in marks.tolist()} >= {40} and (marks >> 32).max() in (2, 3)
+    assert {(m >> 20) & 0xFFF for m in marks.tolist()} >= {40} and (marks >> 32).max() in (5, 6)
+    assert len(media.landmarks(np.full(576 * 3, 255, np.uint8))) == 0
+
+
+def brute_landmarks(samples):
+    """Peaks and pairs by a plain discrete Fourier transform."""
+    n, marks, tops = 576, set(), []
+    k, t = np.arange(n // 2 + 1)[:, None], np.arange(n)[None, :]
+    wave = np.exp(-2j * np.pi * k * t / n)
+    for at in range(0, len(samples) - n + 1, 288):
+        power = abs(wave @ ((samples[at : at + n].astype(float) - 128) * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1)))))
+        found = [b for b in range(1, n // 2) if power[b] > power[b - 1] and power[b] >= power[b + 1] and power[b] >= 1e-3 * power.max()]
+        tops.append(sorted(found, key=lambda b: -power[b])[:2])
+    for i, a in enumerate(tops):
+        if len(a) == 2:
+            marks.add((i, a[0], a[1], 0))
+        for gap in range(1, 5):
+            for x in a:
+                marks |= {(i, x, y, gap) for y in (tops[i + gap] if i + gap < len(tops) else [])}
+    return marks
+
+
+def test_features_of_the_query_are_those_of_a_plain_transform(spark):
+    texts = [TEXTS[5] * 40, "the quick brown fox " * 90, "", "A" * 1000 + "b" * 777, "".join(map(chr, range(32, 900)))]
+    for r in media.media_columns(frame(spark, texts)).collect():
+        got = {(m >> 32, m >> 20 & 0xFFF, m >> 8 & 0xFFF, m & 0xFF) for m in r["landmarks"]}
+        want = brute_landmarks(np.frombuffer(media.padded((texts[r["doc_id"]]).encode()), np.uint8))
+        assert len(got & want) >= 0.98 * max(len(got), len(want)) and len(got) == len(r["landmarks"])
 
 
 def test_bpe_matches_the_library(spark, tik):
