@@ -5,7 +5,8 @@ from collections import defaultdict
 
 import duckdb
 import pytest
-from test_simhash import brute_components, brute_fingerprint
+from pyspark.sql import functions as F
+from test_near_copies import brute_kept
 from test_suffix_dedup import brute
 
 import __spark_entry__
@@ -31,8 +32,7 @@ def test_stages(spark):
     assert two.columns == columns and {r["doc_id"] for r in two.collect()} == set(best.values())
 
     three = near(spark, two, SF).cache()
-    parts = brute_components([(r["doc_id"], brute_fingerprint(r["text"])) for r in two.collect()], 4)
-    assert three.columns == columns and {r["doc_id"] for r in three.collect()} == {c for _, c in parts}
+    assert three.columns == columns and {r["doc_id"] for r in three.collect()} == brute_kept([(r["doc_id"], r["text"]) for r in two.collect()], 14)
 
     four = passages(spark, three, SF).cache()
     rows = sorted((r["doc_id"], r["text"]) for r in three.collect())
@@ -49,12 +49,31 @@ def test_stages(spark):
     assert {r["doc_id"] for r in five} == set(got)
 
 
+ODD = [(5, "AAA x"), (5, "BBB y"), (9, "BBB y"), (7, "CC"), (7, "CC"), (None, "null"), (None, "null"), (None, "other"), (None, None), (3, "")]
+
+
 def test_stages_take_odd_tables(spark):
+    """Rows that share an id, or have none, are kept or dropped as rows; clashing columns pass through."""
     kind = "doc_id long, text string, lang string, source string, n_chars long"
-    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "a b", None, None, 3)], kind)
-    for docs in (odd, odd.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, docs, SF).collect()
+    docs = spark.createDataFrame([(k, t, None, "s", len(t or "")) for k, t in ODD], kind)
+    for name in ("id", "h", "sha", "t", "doc", "ta", "kept", "bucket", "near_node", "label", "score", "predicted", "carried", "row"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    quality, exact, near, passages, packed = (f for _, f in corpus_pipeline.STAGES)
+    rows = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    own = lambda data: sorted(data, key=repr)
+    assert quality(spark, docs, SF).columns == docs.columns and set(rows(quality(spark, docs, SF))) <= set(ODD)
+    once = rows(exact(spark, docs, SF))
+    empty = [x for x in once if not x[1]]
+    assert empty == [(3, "")] and own(x for x in once if x[1]) == own([(5, "AAA x"), (9, "BBB y"), (7, "CC"), (None, "null"), (None, "other")])
+    assert exact(spark, docs, SF).columns == docs.columns
+    left = rows(near(spark, docs, SF))
+    assert near(spark, docs, SF).columns == docs.columns
+    assert own(x for x in left if x[1]) == own([(5, "AAA x"), (5, "BBB y"), (7, "CC"), (None, "null"), (None, "other")]) and len(left) == 6
+    assert rows(passages(spark, docs, SF)) == own(ODD) and passages(spark, docs, SF).columns == docs.columns
+    tokens = packed(spark, docs, SF).collect()
+    assert sorted((r["doc_id"] or 0, r["length"]) for r in tokens if r["length"] == 1) == [(0, 1), (3, 1)] and len(tokens) == len(ODD)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(n for n in __spark_entry__.queries() if n.startswith("op")))
