@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import functions as F
@@ -119,14 +121,6 @@ def _instructions(ops: list[tuple], base: bytes, target: bytes) -> bytes:
     return bytes(out)
 
 
-def index_blocks(base: bytes, block: int = MIN_MATCH, most: int = 64) -> dict[bytes, list[int]]:
-    """Places of the aligned blocks of a base. A block at over ``most`` places keeps evenly spaced ones."""
-    table: dict[bytes, list[int]] = {}
-    for k in range(0, len(base) - block + 1, block):
-        table.setdefault(base[k : k + block], []).append(k)
-    return {key: cull(places, most) for key, places in table.items()}
-
-
 def cull(places: list, most: int = 64) -> list:
     """At most so many of a list, evenly spaced, the first among them."""
     return places if len(places) <= most else [places[k * len(places) // most] for k in range(most)]
@@ -152,41 +146,75 @@ def common_length(a: bytes, b: bytes, i: int, j: int, most: int) -> int:
     return n
 
 
-def encode_blocks(base: bytes, target: bytes, index: dict | None = None, max_size: int | None = None) -> bytes | None:
-    """Delta by a block index of the base: greedy longest matches, grown backwards too.
+class RabinIndex:
+    """Fingerprints of a base's windows at every 16th place, sorted, and those places.
+
+    A fingerprint at over ``most`` places keeps evenly spaced ones. A bit map of the
+    fingerprints' low bits tells most windows of a target apart at once.
+    """
 
-    None where the delta would exceed ``max_size``.
+    def __init__(self, base: bytes, prints: np.ndarray | None = None, most: int = 64):
+        self.base = base
+        aligned = (window_fingerprints(base) if prints is None else prints)[::WIDTH]
+        order = np.argsort(aligned, kind="stable")
+        if len(aligned) > most:
+            start = np.searchsorted(aligned[order], aligned[order])
+            size = np.searchsorted(aligned[order], aligned[order], "right") - start
+            rank = np.arange(len(order)) - start
+            slot = -(-rank * most // size)  # row k * size // most is kept, for each k
+            order = order[(size <= most) | ((slot < most) & (slot * size // most == rank))]
+        self.prints, self.places = aligned[order], order * WIDTH
+        self.low = np.zeros(1 << 16, bool)
+        self.low[self.prints & 0xFFFF] = True
+
+    def hits(self, prints: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+        """Places of a target whose fingerprints are in the index, and the range of the index that has each."""
+        at = np.flatnonzero(self.low[prints & 0xFFFF])
+        first = np.searchsorted(self.prints, prints[at])
+        last = np.searchsorted(self.prints, prints[at], "right")
+        some = last > first
+        return at[some].tolist(), first[some].tolist(), last[some].tolist()
+
+
+def encode_rabin(base: bytes, target: bytes, index: RabinIndex | None = None, max_size: int | None = None, prints: np.ndarray | None = None) -> bytes | None:
+    """Delta by Rabin fingerprints: at each window that the index of the base knows, the longest match, grown backwards too.
+
+    The fingerprints of the target (``prints``, if they are known) come from one pass over
+    all of it; only windows that the base has are looked at one by one. None where the delta
+    would exceed ``max_size``.
     """
-    index = index_blocks(base) if index is None else index
+    index = RabinIndex(base) if index is None else index
+    at, first, last = index.hits(window_fingerprints(target) if prints is None else prints)
     ops: list[tuple] = []
-    at = pending = 0
-    size = 0
-    while at + MIN_MATCH <= len(target):
-        places = index.get(target[at : at + MIN_MATCH])
-        best, where = 0, 0
-        for p in places or ():
-            n = common_length(base, target, p, at, MAX_COPY)
+    pending = size = k = 0
+    places = index.places
+    while k < len(at):
+        here, best, where = at[k], 0, 0
+        for p in places[first[k] : last[k]].tolist():
+            n = common_length(base, target, p, here, MAX_COPY)
             if n > best:
                 best, where = n, p
                 if n >= 4096:
                     break
-        if best < MIN_MATCH:
-            at += 1
+        if best < MIN_MATCH:  # two windows with one fingerprint
+            k += 1
             continue
         back = 0
-        while back < at - pending and back < where and base[where - back - 1] == target[at - back - 1]:
+        while back < here - pending and back < where and base[where - back - 1] == target[here - back - 1]:
             back += 1
-        if at - back > pending:
-            ops.append(("insert", pending, at - back))
-            size += at - back - pending
+        if here - back > pending:
+            ops.append(("insert", pending, here - back))
+            size += here - back - pending
         ops.append(("copy", where - back, best + back))
         size += 4
-        at += best
-        pending = at
+        pending = here + best
         if max_size is not None and size > max_size:
             return None
+        k = bisect_left(at, pending, k + 1)
     if pending < len(target):
         ops.append(("insert", pending, len(target)))
+        if max_size is not None and size + len(target) - pending > max_size:
+            return None
     out = _instructions(ops, base, target)
     return None if max_size is not None and len(out) > max_size else out
 
@@ -222,12 +250,24 @@ def shared_rate(base: bytes, target: bytes) -> float | None:
     return sum(len(x) for _, j, n in align(base.splitlines(keepends=True), b) for x in b[j : j + n]) / len(target)
 
 
-def block_rate(base: bytes, target: bytes) -> float | None:
-    """Share of the target's bytes that the block delta copies."""
-    if not target:
-        return None
-    delta = encode_blocks(base, target)
-    return sum(n for kind, _, n in parse_delta(delta)[2] if kind == "copy") / len(target)
+def rabin_rate(base: bytes, target: bytes) -> float:
+    """Share of the target's bytes that the Rabin delta copies; two empty texts are alike, an empty one is unlike any other."""
+    if not base or not target:
+        return float(base == target)
+    return sum(n for kind, _, n in parse_delta(encode_rabin(base, target))[2] if kind == "copy") / len(target)
+
+
+def rabin_sampled_rate(base: bytes, target: bytes, least: float = 0.5) -> float:
+    """Share of the target's sampled windows whose fingerprint is one of the base's samples; 0 below ``least``.
+
+    A sample is taken every 16 bytes, every 256 of a base of over a million.
+    """
+    if not base or not target:
+        return float(base == target)
+    step = 256 if len(base) > 1_000_000 else WIDTH
+    a, b = window_fingerprints(base)[::step], window_fingerprints(target)[::step]
+    rate = float(np.isin(b, a).mean()) if len(a) and len(b) else 0.0
+    return rate if rate >= least else 0.0
 
 
 def parse_delta(delta: bytes) -> tuple[int, int, list[tuple]]:
@@ -291,7 +331,6 @@ def _reduced(value: int) -> int:
 
 
 _SHIFT = [_reduced(k << DEGREE) for k in range(256)]
-_DROP = [_reduced(k << 8 * (WIDTH - 1)) for k in range(256)]
 
 
 def fingerprint(window: bytes) -> int:
@@ -302,16 +341,19 @@ def fingerprint(window: bytes) -> int:
     return h
 
 
-def rolling_fingerprints(data: bytes) -> list[int]:
-    """Fingerprints of every window of 16 bytes, each from the one before it."""
-    if len(data) < WIDTH:
-        return []
-    h = fingerprint(data[:WIDTH])
-    out = [h]
-    for k in range(WIDTH, len(data)):
-        h ^= _DROP[data[k - WIDTH]]
-        h = (h << 8 & 0x7FFFFFFF | data[k]) ^ _SHIFT[h >> 23]
-        out.append(h)
+#: What a byte adds at each place of a window: the fingerprint of a window is the sum of its bytes' over two elements.
+_AT = np.array([[_reduced(k << 8 * (WIDTH - 1 - i)) for k in range(256)] for i in range(WIDTH)], np.uint32)
+
+
+def window_fingerprints(data: bytes) -> np.ndarray:
+    """Fingerprints of every window of 16 bytes, all at once."""
+    n = len(data) - WIDTH + 1
+    if n < 1:
+        return np.zeros(0, np.uint32)
+    x = np.frombuffer(data, np.uint8)
+    out = _AT[0].take(x[:n])
+    for i in range(1, WIDTH):
+        out ^= _AT[i].take(x[i : n + i])
     return out
 
 
@@ -365,10 +407,11 @@ def _single(f):
 
 deflate_udf = F.pandas_udf(_single(zlib.compress), T.BinaryType())
 inflate_udf = F.pandas_udf(_single(zlib.decompress), T.BinaryType())
-block_delta_udf = F.pandas_udf(_pairs(encode_blocks), T.BinaryType())
+rabin_delta_udf = F.pandas_udf(_pairs(encode_rabin), T.BinaryType())
 line_delta_udf = F.pandas_udf(_pairs(encode_lines), T.BinaryType())
 apply_delta_udf = F.pandas_udf(_pairs(apply_delta), T.BinaryType())
 dictionary_delta_udf = F.pandas_udf(_pairs(dictionary_delta), T.BinaryType())
 apply_dictionary_delta_udf = F.pandas_udf(_pairs(apply_dictionary_delta), T.BinaryType())
 shared_rate_udf = F.pandas_udf(_pairs(shared_rate), T.DoubleType())
-block_rate_udf = F.pandas_udf(_pairs(block_rate), T.DoubleType())
+rabin_rate_udf = F.pandas_udf(_pairs(rabin_rate), T.DoubleType())
+rabin_sampled_rate_udf = F.pandas_udf(_pairs(rabin_sampled_rate), T.DoubleType())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,10 +11,11 @@ CONTEXT, LINE_LIMIT = 3, 10_000
 
 
 def align(a: list, b: list) -> list[tuple[int, int, int]]:
-    """Runs (i, j, n) of equal items of a longest common subsequence, by the greedy search over diagonals.
+    """Runs (i, j, n) of equal items of a longest common subsequence.
 
-    Common ends are set aside first. The furthest reach of each diagonal is kept a round, so
-    that memory follows the square of the number of edits, not of the lengths.
+    Common ends are set aside first, then items that the other side doesn't have, which are
+    in no common subsequence; the rest is searched greedily over diagonals. Of each round one bit
+    a diagonal is kept: a difference of 10,000 items takes some 6 MB.
     """
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
@@ -21,9 +23,12 @@ def align(a: list, b: list) -> list[tuple[int, int, int]]:
     tail = 0
     while tail < min(len(a), len(b)) - head and a[len(a) - 1 - tail] == b[len(b) - 1 - tail]:
         tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    pairs = [(i, i) for i in range(head)] + [(i + head, j + head) for i, j in _middle(x, y)]
-    pairs += [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
+    numbers: dict = {}
+    x = np.array([numbers.setdefault(v, len(numbers)) for v in a[head : len(a) - tail]], np.int64)
+    y = np.array([numbers.setdefault(v, len(numbers)) for v in b[head : len(b) - tail]], np.int64)
+    at_x, at_y = np.flatnonzero(np.isin(x, y)), np.flatnonzero(np.isin(y, x))
+    inner = [(int(at_x[i]) + head, int(at_y[j]) + head) for i, j in _middle(x[at_x], y[at_y])]
+    pairs = [(i, i) for i in range(head)] + inner + [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
     runs: list[tuple[int, int, int]] = []
     for i, j in pairs:
         if runs and runs[-1][0] + runs[-1][2] == i and runs[-1][1] + runs[-1][2] == j:
@@ -33,38 +38,53 @@ def align(a: list, b: list) -> list[tuple[int, int, int]]:
     return runs
 
 
-def _middle(a: list, b: list) -> list[tuple[int, int]]:
+def _middle(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of a longest common subsequence: all diagonals of a round are carried forward together.
+
+    A round's furthest points follow from the moves that led there (down or right), so the
+    moves of the best path, read back from the kept bits, give the path again.
+    """
     n, m = len(a), len(b)
     if not n or not m:
         return []
-    reach, past = {1: 0}, []
+    ends_a, ends_b = np.append(a, -1), np.append(b, -2)  # unlike anything beyond the ends
+    reach, moves = np.zeros(1, np.int64), []
     for d in range(n + m + 1):
-        past.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            down = k == -d or (k != d and reach[k - 1] < reach[k + 1])
-            i = reach[k + 1] if down else reach[k - 1] + 1
-            j = i - k
-            while i < n and j < m and a[i] == b[j]:
-                i, j = i + 1, j + 1
-            reach[k] = i
-            if i >= n and j >= m:
-                return _walk_back(past, n, m)
+        k = np.arange(-d, d + 1, 2)  # diagonals of this round; those of the last one lie between
+        if d:
+            right = np.concatenate(([-1], reach + 1))  # from the diagonal below
+            down = np.concatenate((reach, [-1]))  # from the one above
+            by_down = down >= right
+            reach = np.where(by_down, down, right)
+            moves.append(np.packbits(by_down))
+        live = np.flatnonzero((reach <= n) & (reach - k <= m) & (reach >= 0))
+        while len(live):
+            i = reach[live]
+            live = live[ends_a[np.minimum(i, n)] == ends_b[np.minimum(i - k[live], m)]]
+            reach[live] += 1
+        over = (reach > n) | (reach - k > m)
+        reach[over] = np.where(reach[over] > n, n, reach[over])
+        done = np.flatnonzero((reach >= n) & (reach - k >= m) & (k == n - m))
+        if len(done):
+            return _replay(a, b, moves, int(done[0]))
     return []
 
 
-def _walk_back(past: list[dict], i: int, j: int) -> list[tuple[int, int]]:
-    out = []
-    for d in range(len(past) - 1, -1, -1):
-        reach, k = past[d], i - j
-        down = k == -d or (k != d and reach[k - 1] < reach[k + 1])
-        before = k + 1 if down else k - 1
-        i0 = reach[before] if d else 0
-        j0 = i0 - before if d else 0
-        while i > i0 and j > j0 and (d == 0 or (i > (i0 if down else i0 + 1) and j > (j0 + 1 if down else j0))):
-            i, j = i - 1, j - 1
+def _replay(a: np.ndarray, b: np.ndarray, moves: list[np.ndarray], at: int) -> list[tuple[int, int]]:
+    """The path that ends on a diagonal (its place in the last round)."""
+    path = []
+    for d in range(len(moves), 0, -1):
+        down = bool(moves[d - 1][at >> 3] >> (7 - (at & 7)) & 1)
+        path.append(down)
+        at -= not down
+    x, y, out, i, j = a.tolist(), b.tolist(), [], 0, 0
+    for down in [None, *reversed(path)]:
+        if down is not None:
+            i, j = (i, j + 1) if down else (i + 1, j)
+        while i < len(x) and j < len(y) and x[i] == y[j]:
             out.append((i, j))
-        i, j = i0, j0
-    return out[::-1]
+            i, j = i + 1, j + 1
+    return out
 
 
 def _lines(text: str) -> list[str]:

@@ -74,6 +74,21 @@ def sampled_rate(old, new, chunk: int = 64, step: int | None = None, floor: floa
     return F.when(high == 0, F.lit(1.0)).when(low == 0, F.lit(0.0)).when(rate < floor, F.lit(0.0)).otherwise(rate)
 
 
+def chunk_hashes(data, chunk: int = 64) -> Column:
+    """64-bit hashes of a payload's whole chunks. Make it a column once, before payloads meet in pairs."""
+    x = _col(data).cast("binary")
+    n = F.floor(F.octet_length(x) / chunk).cast("int")
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda k: F.xxhash64(F.substring(x, k * chunk + 1, F.lit(chunk))))
+
+
+def rate_bound(old_chunks, new_chunks, old_size, new_size, chunk: int = 64) -> Column:
+    """What ``sampled_rate`` can be at most, from chunk hashes and sizes: the last chunk of the shorter one counts as equal."""
+    n, m = _col(old_size), _col(new_size)
+    same = F.aggregate(F.zip_with(_col(old_chunks), _col(new_chunks), lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    return F.when((n == 0) & (m == 0), F.lit(1.0)).when((n == 0) | (m == 0), F.lit(0.0)).otherwise((same * chunk + F.least(n, m) % chunk) / F.greatest(n, m))
+
+
 def stepped_rate(old, new) -> Column:
     """The sampled rate with a step that grows with the length."""
     n = F.greatest(F.octet_length(_col(old).cast("binary")), F.octet_length(_col(new).cast("binary")))

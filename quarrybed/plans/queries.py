@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..catalogue import query
 from ..functions import codecs, labels, text
-from ..functions.identity import digest, object_id, short_id
+from ..functions.identity import digest, object_id, payload_crc32, short_id
 from ..operators import aggregates, chains, events, graph, parse, snapshots, windows
+from ..storage import written
 from . import transfer
 
 
@@ -76,9 +77,17 @@ def idx_sorted_rows(spark, sf_dir):
     return windows.ranked(placed.select("oid", "offset"), ["oid"], "rank")
 
 
-@query("crc32_rows")
+#: Checksums by the table of the polynomial 0xEDB88320, byte by byte.
+CRC = """
+    WITH RECURSIVE t0(k, v, step) AS (SELECT range::UBIGINT, range::UBIGINT, 0 FROM range(256) UNION ALL SELECT k, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::UBIGINT) ELSE v // 2 END, step + 1 FROM t0 WHERE step < 8),
+    crc_table AS (SELECT list(v ORDER BY k) AS tab FROM t0 WHERE step = 8)"""
+
+
+@query("crc32_rows", CRC + f""", d AS (SELECT doc_id, {OID} AS oid, hex(encode(text)) AS h FROM documents),
+    b AS (SELECT doc_id, oid, list_prepend(4294967295::UBIGINT, [('0x' || substr(h, 2 * i - 1, 2))::UBIGINT FOR i IN range(1, 1 + length(h) // 2)]) AS codes FROM d)
+    SELECT doc_id, oid, xor(list_reduce(codes, lambda c, x: xor(c // 256, tab[(xor(c, x) % 256 + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS crc32 FROM b, crc_table""")
 def crc32_rows(spark, sf_dir):
-    return document_blobs(spark, sf_dir).select("doc_id", "oid", F.crc32("data").alias("crc32"))
+    return document_blobs(spark, sf_dir).select("doc_id", "oid", payload_crc32("data").alias("crc32"))
 
 
 @query("pack_name_hash", r"""
@@ -120,10 +129,37 @@ def delta_candidates(spark, sf_dir):
     return _candidates(spark, sf_dir)
 
 
-def _candidate_texts(spark, sf_dir):
+def _with_texts(pairs, spark, sf_dir):
+    """Pairs (target, base) with their texts t and b."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    c = _candidates(spark, sf_dir)
-    return c.join(d.select(F.col("doc_id").alias("target"), F.col("text").alias("t")), "target").join(d.select(F.col("doc_id").alias("base"), F.col("text").alias("b")), "base")
+    return pairs.join(d.select(F.col("doc_id").alias("target"), F.col("text").alias("t")), "target").join(d.select(F.col("doc_id").alias("base"), F.col("text").alias("b")), "base")
+
+
+def _with_marks(pairs, marks):
+    """Pairs with narrow columns of both sides, (t_...) and (b_...)."""
+    for side, key in (("t", "target"), ("b", "base")):
+        pairs = pairs.join(marks.select(F.col("doc_id").alias(key), *[F.col(c).alias(f"{side}_{c}") for c in marks.columns if c != "doc_id"]), key)
+    return pairs
+
+
+def _likely_pairs(spark, sf_dir):
+    """(target, base, likely) of the delta candidates: whether chunk hashes allow a sampled rate above 0. No text meets another for it."""
+    d = table(spark, sf_dir, "documents")
+    marks = d.select("doc_id", F.octet_length("text").alias("n"), text.chunk_hashes("text").alias("chunks"))
+    bound = text.rate_bound("b_chunks", "t_chunks", "b_n", "t_n")
+    return written(_with_marks(_candidates(spark, sf_dir), marks).select("target", "base", (bound >= 0.5).alias("likely")), "likely")
+
+
+def _alike(spark, sf_dir):
+    """Candidates with a sampled rate above 0, and their texts."""
+    near = _with_texts(_likely_pairs(spark, sf_dir).where("likely").drop("likely"), spark, sf_dir)
+    return near.withColumn("rate", text.sampled_rate("b", "t")).where("rate > 0")
+
+
+def _nearest_texts(spark, sf_dir):
+    """Each text with the one before it in its candidate order, however unlike, as binary."""
+    near = _with_texts(_candidates(spark, sf_dir).where("distance = 1").select("target", "base"), spark, sf_dir)
+    return near.select("target", "base", F.col("t").cast("binary").alias("t"), F.col("b").cast("binary").alias("b"))
 
 
 @query("head_tail_similar", f"""
@@ -131,7 +167,10 @@ def _candidate_texts(spark, sf_dir):
     p AS (SELECT a.doc_id AS target, b.doc_id AS base, a.x AS ax, b.x AS bx, least(length(a.x), length(b.x)) AS n FROM h a JOIN h b ON a.lang = b.lang AND b.rn BETWEEN a.rn - 10 AND a.rn - 1)
     SELECT target, base FROM p WHERE left(ax, least(128, n)) = left(bx, least(128, n)) AND substr(ax, n - least(128, n) + 1, least(128, n)) = substr(bx, n - least(128, n) + 1, least(128, n))""")
 def head_tail_similar(spark, sf_dir):
-    return _candidate_texts(spark, sf_dir).where(text.head_tail_similar("t", "b")).select("target", "base")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n"), F.substring(F.col("text").cast("binary"), 1, 64).alias("head"))
+    size = F.least(F.lit(64), "t_n", "b_n")
+    same_head = _with_marks(_candidates(spark, sf_dir), d).where(F.substring("t_head", F.lit(1), size) == F.substring("b_head", F.lit(1), size))
+    return _with_texts(same_head.select("target", "base"), spark, sf_dir).where(text.head_tail_similar("t", "b")).select("target", "base")
 
 
 RATE = f"""
@@ -143,29 +182,29 @@ RATE = f"""
 
 @query("sampled_rate_64", RATE + " SELECT target, base, floor(rate * 10000)::BIGINT AS rate FROM q")
 def sampled_rate_64(spark, sf_dir):
-    return _candidate_texts(spark, sf_dir).select("target", "base", F.floor(text.sampled_rate("b", "t") * 10000).alias("rate"))
+    pairs = _likely_pairs(spark, sf_dir)
+    near = _with_texts(pairs.where("likely").drop("likely"), spark, sf_dir).select("target", "base", F.floor(text.sampled_rate("b", "t") * 10000).alias("rate"))
+    return near.unionByName(pairs.where("NOT likely").select("target", "base", F.lit(0).cast("long").alias("rate")))
 
 
 @query("best_sampled_base", RATE + " SELECT target, arg_min(base, (-floor(rate * 10000), base)) AS base, max(floor(rate * 10000))::BIGINT AS score FROM q WHERE rate > 0 GROUP BY target")
 def best_sampled_base(spark, sf_dir):
-    pairs = sampled_rate_64(spark, sf_dir).where("rate > 0")
+    pairs = _alike(spark, sf_dir).select("target", "base", F.floor(F.col("rate") * 10000).alias("rate"))
     return windows.best_by(pairs, "target", "base", F.col("rate"), most=True)
 
 
 @query("best_base")
 def best_base(spark, sf_dir):
-    """The base with the smallest block delta, of candidates whose sampled rate says they are alike."""
-    near = _candidate_texts(spark, sf_dir).where(text.sampled_rate("b", "t") > 0)
-    sized = near.select("target", "base", F.octet_length(codecs.block_delta_udf(F.col("b").cast("binary"), F.col("t").cast("binary"))).alias("n"))
+    """The base with the smallest Rabin delta, of candidates whose sampled rate says they are alike."""
+    sized = _alike(spark, sf_dir).select("target", "base", F.octet_length(codecs.rabin_delta_udf(F.col("b").cast("binary"), F.col("t").cast("binary"))).alias("n"))
     return windows.best_by(sized, "target", "base", F.col("n"))
 
 
 @query("exact_rates")
 def exact_rates(spark, sf_dir):
-    """Exact shares of copied bytes, by lines and by blocks, of alike candidates."""
-    near = _candidate_texts(spark, sf_dir).where(text.sampled_rate("b", "t") > 0)
-    b, t = F.col("b").cast("binary"), F.col("t").cast("binary")
-    return near.select("target", "base", F.round(codecs.shared_rate_udf(b, t), 6).alias("lines"), F.round(codecs.block_rate_udf(b, t), 6).alias("blocks"))
+    """Shares of each text's bytes that its nearest candidate has: by lines, by the Rabin delta, by sampled windows."""
+    rate = lambda f: F.round(f("b", "t"), 6)
+    return _nearest_texts(spark, sf_dir).select("target", "base", rate(codecs.shared_rate_udf).alias("lines"), rate(codecs.rabin_rate_udf).alias("rabin"), rate(codecs.rabin_sampled_rate_udf).alias("sampled"))
 
 
 CODE = "CASE WHEN doc_id % 7 < 3 THEN 3 WHEN doc_id % 7 = 3 THEN 1 WHEN doc_id % 7 = 4 THEN 2 WHEN doc_id % 7 = 5 THEN 4 ELSE 6 END"
@@ -272,6 +311,17 @@ def line_ops(spark, sf_dir):
     return snapshots.line_changes(_turn_pairs(spark, sf_dir), "path", "old", "new")
 
 
+@query("line_ops_applied", r"""
+    WITH p AS (SELECT conv_id || '/' || turn AS path, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS old, text AS new FROM conversations), c AS (SELECT path, old, new FROM p WHERE old IS NOT NULL),
+    n AS (SELECT path, old, new, [regexp_replace(x, '\r+$', '') FOR x IN string_split(CASE WHEN ends_with(old, chr(10)) THEN left(old, length(old) - 1) ELSE old END, chr(10))] AS a, [regexp_replace(x, '\r+$', '') FOR x IN string_split(CASE WHEN ends_with(new, chr(10)) THEN left(new, length(new) - 1) ELSE new END, chr(10))] AS b FROM c)
+    SELECT path, CASE WHEN old = '' THEN '' ELSE array_to_string(a, chr(10)) END AS old, CASE WHEN new = '' THEN '' ELSE array_to_string(b, chr(10)) END AS new FROM n WHERE old <> '' OR new <> ''""")
+def line_ops_applied(spark, sf_dir):
+    """Both sides of each pair of texts, put together again from the line operations."""
+    ops = line_ops(spark, sf_dir)
+    side = lambda gone, at: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("op") != gone, F.struct(at, "content")))), lambda x: x["content"]), "\n")
+    return ops.groupBy("path").agg(side("insert", "old_line").alias("old"), side("delete", "new_line").alias("new"))
+
+
 @query("unified_diff")
 def unified_diff(spark, sf_dir):
     p = _turn_pairs(spark, sf_dir)
@@ -281,6 +331,18 @@ def unified_diff(spark, sf_dir):
     return snapshots.diff_snapshots(old, new, content)
 
 
+@query("unified_diff_balance", r"""
+    WITH p AS (SELECT conv_id || '/' || turn AS path, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS old, text AS new FROM conversations),
+    n AS (SELECT path, old, new, [CASE WHEN x = '' THEN 0 ELSE length(x) - length(replace(x, chr(10), '')) + CASE WHEN ends_with(x, chr(10)) THEN 0 ELSE 1 END END FOR x IN [old, new]] AS k FROM p WHERE old <> new)
+    SELECT path, (k[2] - k[1])::BIGINT AS balance FROM n""")
+def unified_diff_balance(spark, sf_dir):
+    """Added less removed lines of each file's diff; texts that differ have one."""
+    d = unified_diff(spark, sf_dir)
+    lines = F.split("data", "\n")
+    count = lambda sign: F.size(F.filter(lines, lambda x: F.startswith(x, F.lit(sign)) & ~F.startswith(x, F.lit(sign * 3 + " "))))
+    return d.select("path", (count("+") - count("-")).cast("long").alias("balance"))
+
+
 def _levels(spark, sf_dir):
     """Edges region -> nation -> customer -> orders, as named nodes."""
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
@@ -491,30 +553,38 @@ def bucket_cull(spark, sf_dir):
     return windows.cull_buckets(li, "l_returnflag", "o").select("l_returnflag", "l_orderkey", "l_linenumber")
 
 
-@query("delta_roundtrip")
+NEAREST = f"WITH r AS ({RANKED}) SELECT a.doc_id AS target, b.doc_id AS base, strlen(a.text)::BIGINT AS size, true AS same FROM r a JOIN r b ON a.lang = b.lang AND b.rn = a.rn - 1"
+
+
+@query("delta_roundtrip", NEAREST)
 def delta_roundtrip(spark, sf_dir):
-    """Line deltas against each text's best sampled base: sizes, and whether they rebuild the text."""
+    """Line deltas of every text against its nearest candidate, and whether they rebuild the text."""
     return _roundtrip(spark, sf_dir, codecs.line_delta_udf, codecs.apply_delta_udf)
 
 
-@query("rabin_roundtrip")
+@query("rabin_roundtrip", NEAREST)
 def rabin_roundtrip(spark, sf_dir):
-    """Block deltas, likewise."""
-    return _roundtrip(spark, sf_dir, codecs.block_delta_udf, codecs.apply_delta_udf)
+    """Rabin deltas, likewise."""
+    return _roundtrip(spark, sf_dir, codecs.rabin_delta_udf, codecs.apply_delta_udf)
 
 
-@query("zstd_roundtrip")
+@query("zstd_roundtrip", NEAREST)
 def zstd_roundtrip(spark, sf_dir):
     """Dictionary deltas, likewise."""
     return _roundtrip(spark, sf_dir, codecs.dictionary_delta_udf, codecs.apply_dictionary_delta_udf)
 
 
 def _roundtrip(spark, sf_dir, encode, apply):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pairs = best_sampled_base(spark, sf_dir).select("target", "base")
-    both = pairs.join(d.select(F.col("doc_id").alias("target"), F.col("text").cast("binary").alias("t")), "target").join(d.select(F.col("doc_id").alias("base"), F.col("text").cast("binary").alias("b")), "base")
-    made = both.withColumn("delta", encode("b", "t"))
-    return made.select("target", "base", F.octet_length("t").alias("size"), F.octet_length("delta").alias("delta_size"), apply("b", "delta").eqNullSafe(F.col("t")).alias("same"))
+    made = _nearest_texts(spark, sf_dir).withColumn("delta", encode("b", "t"))
+    return made.select("target", "base", F.octet_length("t").cast("long").alias("size"), apply("b", "delta").eqNullSafe(F.col("t")).alias("same"))
+
+
+@query("delta_sizes")
+def delta_sizes(spark, sf_dir):
+    """Sizes of the three kinds of delta."""
+    d = _nearest_texts(spark, sf_dir)
+    size = lambda f: F.octet_length(f("b", "t"))
+    return d.select("target", "base", size(codecs.line_delta_udf).alias("lines"), size(codecs.rabin_delta_udf).alias("rabin"), size(codecs.dictionary_delta_udf).alias("dictionary"))
 
 
 @query("chain_depths", """
@@ -534,7 +604,7 @@ def pack_roundtrip(spark, sf_dir):
     blobs = document_blobs(spark, sf_dir)
     folder = fresh_path(spark, "packs")
     writers.write_pack(blobs, folder)
-    return chains.rebuild(readers.read_packs(spark, folder)).select("oid", "obj_type", "size")
+    return chains.load(spark, folder).select("oid", "obj_type", "size")
 
 
 @query("block_overlap", f"""
@@ -549,11 +619,11 @@ def block_overlap(spark, sf_dir):
     return pairs.where("share IS NOT NULL").withColumn("share", F.floor(F.col("share") * 10000))
 
 
-@query("deflate_roundtrip")
+@query("deflate_roundtrip", "SELECT doc_id, strlen(text)::BIGINT AS size, true AS same FROM documents")
 def deflate_roundtrip(spark, sf_dir):
-    """Texts deflated and inflated: sizes, and whether they come back."""
+    """Texts deflated and inflated, and whether they come back."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("data")).withColumn("small", codecs.deflate_udf("data"))
-    return d.select("doc_id", F.octet_length("data").alias("size"), F.octet_length("small").alias("stored"), codecs.inflate_udf("small").eqNullSafe(F.col("data")).alias("same"))
+    return d.select("doc_id", F.octet_length("data").cast("long").alias("size"), codecs.inflate_udf("small").eqNullSafe(F.col("data")).alias("same"))
 
 
 def _turn_commits(spark, sf_dir):

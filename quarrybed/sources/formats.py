@@ -6,10 +6,11 @@ import hashlib
 import struct
 import zlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from ..functions.codecs import CodecError, read_distance, read_entry_header, write_distance, write_entry_header
+from ..functions.codecs import CodecError, apply_delta, apply_dictionary_delta, read_distance, read_entry_header, write_distance, write_entry_header
 
 COMMIT, TREE, BLOB, TAG, ZSTD_DELTA, OFFSET_DELTA, REF_DELTA = range(1, 8)
 TYPE_NAMES = {1: "commit", 2: "tree", 3: "blob", 4: "tag"}
@@ -119,6 +120,35 @@ def parse_pack(data: bytes, hash_kind: str = "sha1", payload: bool = True, verif
         raise FormatError("bytes after the last entry")
 
 
+def build_pack(data: bytes, hash_kind: str = "sha1", verify: bool = True) -> Iterator[tuple]:
+    """(seq, offset, type code, base offset, base id, content, crc32, id, type, chain length) of a pack's entries in order.
+
+    Id, type and chain length are None, and the content is the delta, where the base isn't
+    before the entry in this pack. What nobody builds on is not kept.
+    """
+    users: Counter = Counter()
+    for e in parse_pack(data, hash_kind, payload=False, verify=verify):
+        users[e.base_offset if e.base_offset is not None else e.base_oid] += 1
+    users.pop(None, None)
+    held: dict = {}  # by offset or id: (content, type, chain length)
+    for e in parse_pack(data, hash_kind, verify=False):
+        content, kind, length, oid = e.payload, TYPE_NAMES.get(e.type_bits), 0, None
+        if kind is None:
+            key = e.base_offset if e.base_offset is not None else e.base_oid
+            base = held.get(key)
+            users[key] -= 1
+            if base is not None:
+                content, kind, length = (apply_dictionary_delta if e.type_bits == ZSTD_DELTA else apply_delta)(base[0], content), base[1], base[2] + 1
+                if not users[key]:
+                    del held[key]
+        if kind is not None:
+            oid = oid_of(kind, content, hash_kind)
+            for key in (e.offset, oid):
+                if users[key] > 0:
+                    held[key] = (content, kind, length)
+        yield e.seq, e.offset, e.type_bits, e.base_offset, e.base_oid, content, e.crc32, oid, kind, length if kind else None
+
+
 def parse_range(data: bytes, shift: int, seq: int, offsets: list[int], stop: int, hash_kind: str = "sha1", payload: bool = True) -> Iterator[PackEntry]:
     """Entries of a part of a pack that begins at ``shift``, by the offsets that its index has; ``stop`` is where the next entry or the trailer begins."""
     for k, (at, after) in enumerate(zip(offsets, [*offsets[1:], stop])):

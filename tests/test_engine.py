@@ -25,9 +25,9 @@ def mixed_pack(kind="sha1"):
     texts = [base] + [base + b"line %d\n" % k for k in range(1, 5)]
     commit = b"tree " + b"0" * 40 + b"\nauthor A <a@b> 1 +0000\ncommitter A <a@b> 1 +0000\n\nhello\n"
     b = fm.PackBuilder(kind)
-    b.add(oid(texts[1], h=kind), fm.encode_entry(fm.REF_DELTA, codecs.encode_blocks(base, texts[1]), base_oid=oid(base, h=kind)))
+    b.add(oid(texts[1], h=kind), fm.encode_entry(fm.REF_DELTA, codecs.encode_rabin(base, texts[1]), base_oid=oid(base, h=kind)))
     at = b.add(oid(base, h=kind), fm.encode_entry(fm.BLOB, base))
-    two = b.add(oid(texts[2], h=kind), fm.encode_entry(fm.OFFSET_DELTA, codecs.encode_blocks(base, texts[2]), b.at - at))
+    two = b.add(oid(texts[2], h=kind), fm.encode_entry(fm.OFFSET_DELTA, codecs.encode_rabin(base, texts[2]), b.at - at))
     b.add(oid(texts[3], h=kind), fm.encode_entry(fm.REF_DELTA, codecs.encode_lines(texts[1], texts[3]), base_oid=oid(texts[1], h=kind)))
     b.add(oid(texts[4], h=kind), fm.encode_entry(fm.ZSTD_DELTA, codecs.dictionary_delta(texts[2], texts[4]), b.at - two))
     b.add(oid(commit, "commit", kind), fm.encode_entry(fm.COMMIT, commit))
@@ -79,12 +79,38 @@ def test_write_pack_reads_back(spark, tmp_path, window, dictionary):
     rows = chains.rebuild(readers.read_packs(spark, str(tmp_path))).collect()
     assert {(r["oid"], bytes(r["data"])) for r in rows} == {(r["oid"], bytes(r["data"])) for r in objects.collect()}
     assert any(r["is_delta"] for r in rows) == bool(window)
+    columns = ["oid", "obj_type", "size", "data", "chain_len", "pack_id", "pack_offset", "crc32", "is_delta"]
+    assert sorted(map(tuple, chains.load(spark, str(tmp_path)).select(*columns).collect())) == sorted(tuple(r[c] for c in columns) for r in rows)
     with open(f"{tmp_path}/{name}.idx", "rb") as f:
         assert {r[0] for r in fm.parse_pack_index(f.read())[0]} == {r["oid"] for r in rows}
     with pytest.raises(ValueError):
         writers.write_pack(objects.withColumn("obj_type", F.lit("task")), str(tmp_path))
 
 
+def test_deltas_that_name_their_bases_by_id(spark, tmp_path):
+    """Rebuilt in the pack's task, and by joins where the base is in another pack or comes later."""
+    base = b"some text that is shared by all of them\n" * 10
+    texts = [base + b"tail %d" % k for k in range(30)]
+    objects = spark.createDataFrame([(oid(t), "blob", bytearray(t)) for t in texts], "oid string, obj_type string, data binary")
+    writers.write_pack(objects, f"{tmp_path}/a", by_id=True)
+    entries = readers.read_packs(spark, f"{tmp_path}/a")
+    assert entries.where("base_oid IS NOT NULL").count() > 20 and entries.where("base_offset IS NOT NULL").count() == 0
+    assert {bytes(r["data"]) for r in chains.load(spark, f"{tmp_path}/a").collect()} == set(texts)
+    b = fm.PackBuilder()
+    late, more, far = base + b"late", base + b"more", base + b"far"
+    first = b.add(oid(more), fm.encode_entry(fm.REF_DELTA, codecs.encode_rabin(late, more), base_oid=oid(late)))  # its base follows
+    second = b.at
+    b.add(oid(far), fm.encode_entry(fm.OFFSET_DELTA, codecs.encode_rabin(more, far), second - first))
+    b.add(oid(late), fm.encode_entry(fm.REF_DELTA, codecs.encode_rabin(texts[3], late), base_oid=oid(texts[3])))  # its base is in the other pack
+    (tmp_path / "b.pack").write_bytes(b.finish()[0])
+    got = chains.load(spark, str(tmp_path)).collect()
+    assert {bytes(r["data"]) for r in got} == {*texts, late, more, far} and all(r["oid"] == oid(bytes(r["data"])) for r in got)
+    alone = chains.load(spark, f"{tmp_path}/b.pack", known=objects).collect()
+    assert {bytes(r["data"]): r["chain_len"] for r in alone} == {late: 1, more: 2, far: 3}
+    with pytest.raises(RuntimeError):
+        chains.rebuild(entries, max_depth=1)
+
+
 def test_loose_and_stage(spark, tmp_path):
     objects = spark.createDataFrame([(oid(b"a"), "blob", bytearray(b"a")), (oid(b"", "tree"), "tree", bytearray(b""))], "oid string, obj_type string, data binary")
     assert writers.write_loose(objects, f"{tmp_path}/objects") == 2
@@ -247,7 +273,7 @@ def test_snapshot_diffs(spark):
 def test_stream_waits_for_late_bases(spark, tmp_path):
     base, late = b"shared words " * 30, b"shared words " * 30 + b"!"
     source, store = f"{tmp_path}/in", f"{tmp_path}/out"
-    put(f"{source}/one.pack", fm.pack_bytes([fm.encode_entry(fm.REF_DELTA, codecs.encode_blocks(base, late), base_oid=oid(base)), fm.encode_entry(fm.BLOB, b"other")]))
+    put(f"{source}/one.pack", fm.pack_bytes([fm.encode_entry(fm.REF_DELTA, codecs.encode_rabin(base, late), base_oid=oid(base)), fm.encode_entry(fm.BLOB, b"other")]))
     query, target = ingest.ingest(spark, source, store)
     query.awaitTermination()
     assert {r["oid"] for r in target.objects().collect()} == {oid(b"other")} and target.waiting().count() == 1
@@ -307,7 +333,7 @@ def push_request(commands, entries):
 def test_pushes(spark, tmp_path):
     zero, base, more = "0" * 40, b"shared words " * 30, b"shared words " * 30 + b"!"
     first = push_request([f"{zero} {oid(base)} refs/heads/main\0report-status\n"], [fm.encode_entry(fm.BLOB, base)])
-    thin = push_request([f"{oid(base)} {oid(more)} refs/heads/main\n", f"{zero} {'ee' * 20} refs/tags/none\n"], [fm.encode_entry(fm.REF_DELTA, codecs.encode_blocks(base, more), base_oid=oid(base))])
+    thin = push_request([f"{oid(base)} {oid(more)} refs/heads/main\n", f"{zero} {'ee' * 20} refs/tags/none\n"], [fm.encode_entry(fm.REF_DELTA, codecs.encode_rabin(base, more), base_oid=oid(base))])
     lost = push_request([f"{zero} {oid(b'z')} refs/heads/z\n"], [fm.encode_entry(fm.BLOB, b"z"), fm.encode_entry(fm.REF_DELTA, b"\1\1\1a", base_oid="ab" * 20)])
     broken = push_request([f"{oid(more)} {zero} refs/heads/main\n"], [fm.encode_entry(fm.BLOB, b"q")])[:-1] + b"\0"
     put(f"{tmp_path}/in/1.push", first)

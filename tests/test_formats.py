@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import tracemalloc
 import zlib
 
 import pytest
@@ -86,14 +87,14 @@ def test_deltas_round_trip(base, edits):
     for at, data in edits:
         target[at : at + len(data) // 2] = data
     target = bytes(target)
-    assert codecs.apply_delta(base, codecs.encode_blocks(base, target)) == target
+    assert codecs.apply_delta(base, codecs.encode_rabin(base, target)) == target
     assert codecs.apply_delta(base, codecs.encode_lines(base, target)) == target
     assert codecs.apply_dictionary_delta(base, codecs.dictionary_delta(base, target)) == target
 
 
 @given(st.binary(min_size=16, max_size=120))
-def test_rolling_fingerprints(data):
-    rolled = codecs.rolling_fingerprints(data)
+def test_window_fingerprints(data):
+    rolled = codecs.window_fingerprints(data).tolist()
     assert rolled == [codecs.fingerprint(data[k : k + 16]) for k in range(len(data) - 15)]
     h = int.from_bytes(data[:16], "big")
     while h.bit_length() > 31:
@@ -101,13 +102,36 @@ def test_rolling_fingerprints(data):
     assert rolled[0] == h
 
 
+def test_rabin_index_thins_what_repeats_and_finds_what_is_alike():
+    r = random.Random(3)
+    base = bytes(r.choices(range(256), k=4000))
+    assert len(codecs.RabinIndex(b"a" * 16 * 500).places) == 64 and len(codecs.RabinIndex(base).places) == 250
+    target = b"new" + base[1000:3000] + b"more" * 5 + base[:700]
+    delta = codecs.encode_rabin(base, target)
+    assert codecs.apply_delta(base, delta) == target and len(delta) < 60
+    assert codecs.rabin_rate(base, target) > 0.98 and codecs.rabin_rate(b"", b"") == 1 and codecs.rabin_rate(b"", b"x") == 0
+    assert codecs.rabin_sampled_rate(base, base) == 1 and codecs.rabin_sampled_rate(base, base[5:]) == 0
+
+
+def test_alignment_of_long_unlike_texts_is_cheap():
+    """Two orders of 5,000 lines, and 5,000 lines with nothing in common."""
+    a = [f"line {k}" for k in range(5000)]
+    b = random.Random(1).sample(a, 5000)
+    tracemalloc.start()
+    runs = diffs.align(a, b)
+    assert diffs.align(a, [x + "!" for x in a]) == []
+    assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    tracemalloc.stop()
+    assert all(a[i : i + n] == b[j : j + n] for i, j, n in runs) and sum(n for *_, n in runs) > 100
+
+
 def test_delta_limits():
     r = random.Random(1)
     base = bytes(r.randrange(256) for _ in range(5000))
-    assert codecs.encode_blocks(base, bytes(r.randrange(256) for _ in range(5000)), max_size=100) is None
-    assert len(codecs.encode_blocks(base, base, max_size=100)) < 20
+    assert codecs.encode_rabin(base, bytes(r.randrange(256) for _ in range(5000)), max_size=100) is None
+    assert len(codecs.encode_rabin(base, base, max_size=100)) < 20
     big = base * 20
-    assert codecs.apply_delta(big, codecs.encode_blocks(big, big[::-1] + big)) == big[::-1] + big
+    assert codecs.apply_delta(big, codecs.encode_rabin(big, big[::-1] + big)) == big[::-1] + big
     assert codecs.cull(list(range(128)))[0] == 0 and codecs.cull(list(range(128)))[-1] == 126 and len(codecs.cull(list(range(128)))) == 64
     assert codecs.shared_rate(b"x", b"") is None and codecs.shared_rate(b"a\nb\n", b"a\nc\n") == 0.5
 
@@ -140,7 +164,7 @@ def small_pack(kind="sha1"):
     one, two = b"x" * 100, b"x" * 100 + b"tail"
     b = fm.PackBuilder(kind)
     at = b.add(fm.oid_of("blob", one, kind), fm.encode_entry(fm.BLOB, one))
-    b.add(fm.oid_of("blob", two, kind), fm.encode_entry(fm.OFFSET_DELTA, codecs.encode_blocks(one, two), b.at - at))
+    b.add(fm.oid_of("blob", two, kind), fm.encode_entry(fm.OFFSET_DELTA, codecs.encode_rabin(one, two), b.at - at))
     return b.finish()
 
 
