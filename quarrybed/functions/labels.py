@@ -101,12 +101,29 @@ def is_service_request(path: Column) -> Column:
     return F.endswith(path, F.lit("/info/refs")) | F.endswith(path, F.lit("/git-upload-pack")) | F.endswith(path, F.lit("/git-receive-pack"))
 
 
+#: Names of the transfer capabilities, plain ones and those that take a value.
+CAPABILITIES = (
+    "multi_ack", "multi_ack_detailed", "no-done", "side-band", "side-band-64k", "report-status", "report-status-v2", "ofs-delta",
+    "deepen-since", "deepen-not", "deepen-relative", "thin-pack", "shallow", "include-tag", "delete-refs", "quiet", "atomic",
+    "no-thin", "no-progress", "allow-tip-sha1-in-want", "allow-reachable-sha1-in-want", "push-options",
+)
+VALUED_CAPABILITIES = ("agent", "session-id", "push-cert", "object-format", "filter", "symref")
+
+
 def capabilities(text: Column) -> Column:
-    """Space-separated capabilities as a map: name -> value, empty where there is none."""
+    """Space-separated capabilities in their order, as structs: name, value (empty where there is none), known. Names may repeat."""
     parts = F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != "")
-    names = F.transform(parts, lambda x: F.split_part(x, F.lit("="), F.lit(1)))
-    values = F.transform(parts, lambda x: F.regexp_extract(x, "=(.*)$", 1))
-    return F.map_from_entries(F.array_distinct(F.arrays_zip(names.alias("k"), values.alias("v"))))
+    def one(x: Column) -> Column:
+        name, value = F.split_part(x, F.lit("="), F.lit(1)), F.regexp_extract(x, "=(.*)$", 1)
+        known = F.when(F.contains(x, F.lit("=")), name.isin(*VALUED_CAPABILITIES)).otherwise(name.isin(*CAPABILITIES))
+        return F.struct(name.alias("name"), value.alias("value"), known.alias("known"))
+
+    return F.transform(parts, one)
+
+
+def capability_text(parsed: Column) -> Column:
+    """Capabilities as they are sent."""
+    return F.array_join(F.transform(parsed, lambda c: F.when(c["value"] != "", F.concat(c["name"], F.lit("="), c["value"])).otherwise(c["name"])), " ")
 
 
 def ref_kind(name: Column) -> Column:

@@ -29,12 +29,10 @@ def distinct_objects(*sources: DataFrame) -> DataFrame:
 
 
 def fingerprint(ids: DataFrame, oid: str = "oid") -> DataFrame:
-    """Order-independent fingerprint of a multiset of ids: count, five 32-bit lanes by exclusive or, and
-    the sum modulo 2^64 of a mixed hash as two 32-bit halves, which repeats change too."""
+    """Order-independent fingerprint of a multiset of ids: count, five 32-bit lanes by exclusive or, and the
+    sum of the first 128 bits in 32-bit pieces (sum0 the highest), which repeats change too."""
     lane = lambda k: F.conv(F.substring(oid, 8 * k + 1, 8), 16, 10).cast("long")
-    mixed = F.xxhash64(oid)
-    halves = [F.sum(mixed.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low_sum"), F.sum(F.shiftrightunsigned(mixed, 32)).alias("high_sum")]
-    return ids.agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(lane(k)).alias(f"lane{k}") for k in range(5)], *halves)
+    return ids.agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(lane(k)).alias(f"lane{k}") for k in range(5)], *[F.sum(lane(k)).alias(f"sum{k}") for k in range(4)])
 
 
 def compression_totals(objects: DataFrame, raw: str, stored: str, by: str | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .windows import latest
 
@@ -43,15 +44,23 @@ def audit_chain(intents: DataFrame, plans: DataFrame, tasks: DataFrame, runs: Da
 
 
 def broken_links(tables: dict[str, DataFrame], keys=None) -> DataFrame:
-    """child, column, missing: how many references of each edge lead nowhere."""
+    """child, column, missing: how many references of each edge lead nowhere. Of an array, each element is a reference."""
     from ..schemas import FOREIGN_KEYS
 
+    def ids(df: DataFrame, column: str) -> DataFrame:
+        head, _, rest = column.partition(".")
+        out = df.select(F.col(head).alias("object_id"))
+        if isinstance(out.schema[0].dataType, T.ArrayType):
+            out = out.select(F.explode("object_id").alias("object_id"))
+        return out.select(F.col(f"object_id.{rest}").alias("object_id")) if rest else out
+
     out = None
     for child, column, parent in keys or FOREIGN_KEYS:
-        if child not in tables or parent not in tables:
+        name, _, target = parent.partition(".")
+        if child not in tables or name not in tables:
             continue
-        refs = tables[child].select(F.col(column).alias("object_id")).where("object_id IS NOT NULL")
-        lost = refs.join(tables[parent].select("object_id"), "object_id", "left_anti").agg(F.count(F.lit(1)).alias("missing"))
+        refs = ids(tables[child], column).where("object_id IS NOT NULL")
+        lost = refs.join(ids(tables[name], target or "object_id"), "object_id", "left_anti").agg(F.count(F.lit(1)).alias("missing"))
         row = lost.select(F.lit(child).alias("child"), F.lit(column).alias("column"), "missing")
         out = row if out is None else out.unionByName(row)
     return out

@@ -44,9 +44,14 @@ def full_set(want: DataFrame, commits: DataFrame, commit_parents: DataFrame, tre
     return reached.select(F.col("node").alias("oid"), F.lit("commit").alias("kind")).unionByName(tree_objects(roots, tree_items)).distinct()
 
 
+def common_commits(have: DataFrame, commits: DataFrame) -> DataFrame:
+    """Ids (node) of ``have`` that are commits here."""
+    return have.join(commits, have.node == commits.oid, "left_semi")
+
+
 def incremental_set(want: DataFrame, have: DataFrame, commits: DataFrame, commit_parents: DataFrame, tree_items: DataFrame) -> DataFrame:
     """What ``want`` needs and ``have`` doesn't hold; ids of ``have`` that are unknown here are left out."""
-    common = have.join(commits, have.node == commits.oid, "left_semi")
+    common = common_commits(have, commits)
     return full_set(want, commits, commit_parents, tree_items).join(full_set(common, commits, commit_parents, tree_items), ["oid", "kind"], "left_anti")
 
 
@@ -63,12 +68,12 @@ def layers(nodes: DataFrame, deps: DataFrame, max_rounds: int = 100_000) -> Data
         open_deps = deps.join(left.select(F.col("node").alias("needs")), "needs", "left_semi")
         ready = written(left.join(open_deps, "node", "left_anti").withColumn("layer", F.lit(k)), "ready")
         if ready.isEmpty():
-            break
+            return done if done is not None else left.withColumn("layer", F.lit(0)).limit(0)
         done = ready if done is None else done.unionByName(ready)
         left = written(left.join(ready, "node", "left_anti"), "nodes")
         if k % 16 == 15:
             done = written(done, "done")
-    return done if done is not None else left.withColumn("layer", F.lit(0)).limit(0)
+    raise RuntimeError("more layers than max_rounds")
 
 
 def ready_tasks(tasks: DataFrame, deps: DataFrame, done: DataFrame) -> DataFrame:

@@ -77,12 +77,17 @@ def latest(events: DataFrame, key: str, order: list[str], fields: list[str]) ->
 
 
 def cull_buckets(rows: DataFrame, key: str, order: str, most: int = 64) -> DataFrame:
-    """Rows of overfull keys thinned to ``most`` evenly spaced ones, the first among them."""
-    w = Window.partitionBy(key).orderBy(order)
-    numbered = rows.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    """Rows of overfull keys thinned to ``most`` evenly spaced ones, the first among them.
+
+    Rows are numbered over ranges of (key, order), so a key with most of the rows is many tasks.
+    """
+    numbered = running_total(rows, [key, order], F.lit(1), "_at")
+    keys = numbered.groupBy(F.col(key).alias("_key")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    numbered = numbered.join(keys, numbered[key].eqNullSafe(keys["_key"])).withColumn("_i", F.col("_at") - F.col("_first"))
     # row i is kept if it is floor(k * n / most) for some k
     k = F.ceil(F.col("_i") * most / F.col("_n"))
-    return numbered.where((F.col("_n") <= most) | ((k < most) & (F.floor(k * F.col("_n") / most) == F.col("_i")))).drop("_i", "_n")
+    kept = (F.col("_n") <= most) | ((k < most) & (F.floor(k * F.col("_n") / most) == F.col("_i")))
+    return numbered.where(kept).select(*rows.columns)
 
 
 def context_budget(frames: DataFrame, key: str, order: list[str], tokens: str, budget: int) -> DataFrame:

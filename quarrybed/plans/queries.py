@@ -14,7 +14,7 @@ from ..catalogue import query
 from ..functions import codecs, labels, text
 from ..functions.identity import digest, object_id, payload_crc32, short_id
 from ..operators import aggregates, chains, events, graph, parse, snapshots, windows
-from ..storage import written
+from ..storage import fresh_path, written
 from . import transfer
 
 
@@ -233,9 +233,12 @@ def index_flags(spark, sf_dir):
 LANES = ", ".join(f"bit_xor(('0x' || substr(oid, {8 * k + 1}, 8))::BIGINT) AS lane{k}" for k in range(5))
 
 
-@query("fingerprint_xor", f"WITH o AS (SELECT {OID} AS oid FROM documents) SELECT count(*) AS n, {LANES} FROM o")
+SUMS = ", ".join(f"sum(('0x' || substr(oid, {8 * k + 1}, 8))::BIGINT)::BIGINT AS sum{k}" for k in range(4))
+
+
+@query("fingerprint_xor", f"WITH o AS (SELECT {OID} AS oid FROM documents) SELECT count(*) AS n, {LANES}, {SUMS} FROM o")
 def fingerprint_xor(spark, sf_dir):
-    return aggregates.fingerprint(document_blobs(spark, sf_dir)).drop("low_sum", "high_sum")
+    return aggregates.fingerprint(document_blobs(spark, sf_dir))
 
 
 @query("compression_totals", "SELECT lang, count(*) AS objects, sum(strlen(text))::BIGINT AS raw_bytes, sum(n_chars)::BIGINT AS stored_bytes, floor(sum(n_chars) * 1000 / sum(strlen(text)))::BIGINT AS per_mille FROM documents GROUP BY lang")
@@ -245,15 +248,15 @@ def compression_totals(spark, sf_dir):
 
 
 OLD_NEW = """
-    WITH old AS (SELECT url AS path, sha1(html) AS oid FROM pages WHERE page_id % 5 <> 0),
-    new AS (SELECT url AS path, sha1(html || CASE WHEN page_id % 3 = 0 THEN 'x' ELSE '' END) AS oid FROM pages WHERE page_id % 7 <> 0)"""
+    WITH old AS (SELECT url AS path, sha1(html) AS oid FROM pages WHERE page_id % 35 <> 0),
+    new AS (SELECT url AS path, sha1(html || CASE WHEN page_id % 3 = 0 THEN 'x' ELSE '' END) AS oid FROM pages WHERE page_id % 35 <> 1)"""
 
 
 def _snapshots(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    old = p.where("page_id % 5 <> 0").select(F.col("url").alias("path"), digest("html").alias("oid"))
+    old = p.where("page_id % 35 <> 0").select(F.col("url").alias("path"), digest("html").alias("oid"))
     more = F.when(F.col("page_id") % 3 == 0, F.lit("x")).otherwise(F.lit(""))
-    new = p.where("page_id % 7 <> 0").select(F.col("url").alias("path"), F.sha1(F.concat("html", more)).alias("oid"))
+    new = p.where("page_id % 35 <> 1").select(F.col("url").alias("path"), F.sha1(F.concat("html", more)).alias("oid"))
     return old, new
 
 
@@ -285,10 +288,16 @@ def large_file_marker(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.line_count("text").cast("long").alias("lines"), text.large_file_marker("source", "text", F.lit(""), 20).alias("marker"))
 
 
-@query("utf8_check", "SELECT doc_id, false AS is_binary FROM documents")
+@query("utf8_check", """
+    WITH h AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN left(hex(encode(text)), 2 * (doc_id % 50)) || CASE doc_id % 9 WHEN 0 THEN '80' WHEN 3 THEN 'C0AF' ELSE 'EDA080' END ELSE hex(encode(text)) END AS h FROM documents)
+    SELECT doc_id, doc_id % 3 = 0 AS is_binary FROM h""")
 def utf8_check(spark, sf_dir):
+    """Texts, a third of them with bytes that no UTF-8 has."""
+    k = F.col("doc_id")
+    wrong = F.unhex(F.when(k % 9 == 0, "80").when(k % 9 == 3, "C0AF").otherwise("EDA080"))
     data = F.col("text").cast("binary")
-    return table(spark, sf_dir, "documents").select("doc_id", text.is_binary(data, data).alias("is_binary"))
+    broken = F.when(k % 3 == 0, F.concat(F.substring(data, F.lit(1), (k % 50).cast("int")), wrong)).otherwise(data)
+    return table(spark, sf_dir, "documents").select("doc_id", text.is_binary(broken, F.lit("").cast("binary")).alias("is_binary"))
 
 
 def _turn_pairs(spark, sf_dir):
@@ -428,8 +437,9 @@ def releasable(spark, sf_dir):
 
 @query("common_commits", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def common_commits(spark, sf_dir):
-    have = table(spark, sf_dir, "customer").select("c_custkey")
-    return have.join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    have = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
+    known = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("oid"))
+    return graph.common_commits(have, known).select(F.col("node").alias("c_custkey"))
 
 
 @query("index_upsert", """
@@ -462,21 +472,6 @@ def reverse_index(spark, sf_dir):
     return out.select("l_orderkey", "n", F.array_join(F.col("values").cast("array<string>"), ",").alias("parts"))
 
 
-@query("audit_chain", """
-    SELECT r_name AS region, n_name AS nation, count(DISTINCT c_custkey) AS customers, count(DISTINCT o_orderkey) AS orders, count(l_linenumber) AS items
-    FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2""")
-def audit_chain(spark, sf_dir):
-    r, n, c, o, li = (table(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders", "lineitem"))
-    # items are counted before the joins, so no row is multiplied
-    per_order = o.join(li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("items")), o.o_orderkey == F.col("l_orderkey"), "left")
-    per_customer = per_order.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"), F.sum(F.coalesce("items", F.lit(0))).alias("items"))
-    chain = c.join(per_customer, c.c_custkey == per_customer.o_custkey, "left")
-    per_nation = chain.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers"), F.sum(F.coalesce("orders", F.lit(0))).alias("orders"), F.sum(F.coalesce("items", F.lit(0))).alias("items"))
-    out = r.join(n, r.r_regionkey == n.n_regionkey, "left").join(per_nation, n.n_nationkey == per_nation.c_nationkey, "left")
-    z = lambda k: F.coalesce(k, F.lit(0)).cast("long").alias(k)
-    return out.select(F.col("r_name").alias("region"), F.col("n_name").alias("nation"), z("customers"), z("orders"), z("items"))
-
-
 @query("context_budget", "WITH w AS (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used FROM conversations) SELECT conv_id, turn, used::BIGINT AS used FROM w WHERE used <= 1000")
 def context_budget(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("tokens"))
@@ -500,13 +495,13 @@ def dependency_layers(spark, sf_dir):
 
 
 @query("usage_totals", """
-    SELECT l_orderkey AS run_id, sum(l_quantity::BIGINT)::BIGINT AS input_tokens, sum(l_linenumber)::BIGINT AS output_tokens, sum(l_quantity::BIGINT + l_linenumber + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::BIGINT AS total_tokens,
+    SELECT l_orderkey AS run_id, sum(l_linenumber * 0.25)::DOUBLE AS cost_usd, sum(l_quantity::BIGINT)::BIGINT AS input_tokens, sum(l_linenumber)::BIGINT AS output_tokens, sum(l_quantity::BIGINT + l_linenumber + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::BIGINT AS total_tokens,
     bool_and(l_returnflag <> 'R') AS consistent FROM lineitem GROUP BY 1""")
 def usage_totals(spark, sf_dir):
     q, n = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")
     extra = F.when(F.col("l_returnflag") == "R", 1).otherwise(0)
-    u = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), q.alias("input_tokens"), n.alias("output_tokens"), (q + n + extra).alias("total_tokens"), F.lit(None).cast("double").alias("cost_usd"))
-    return aggregates.usage_totals(u).drop("cost_usd")
+    u = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), q.alias("input_tokens"), n.alias("output_tokens"), (q + n + extra).alias("total_tokens"), (n * 0.25).alias("cost_usd"))
+    return aggregates.usage_totals(u)
 
 
 @query("props_json", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
@@ -598,8 +593,7 @@ def chain_depths(spark, sf_dir):
 @query("pack_roundtrip", f"SELECT DISTINCT {OID} AS oid, 'blob' AS obj_type, strlen(text)::BIGINT AS size FROM documents")
 def pack_roundtrip(spark, sf_dir):
     """Documents written as a delta pack, read again and rebuilt."""
-    from ..sources import readers, writers
-    from ..storage import fresh_path
+    from ..sources import writers
 
     blobs = document_blobs(spark, sf_dir)
     folder = fresh_path(spark, "packs")
@@ -664,13 +658,20 @@ def workflow_events(spark, sf_dir):
 @query("event_windows", "SELECT event_type, epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start_us, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
     """Hourly counts by a stream over the event log, with a watermark."""
-    import uuid
-
     from ..streaming.ingest import event_counts
 
     schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("at", F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")))
-    name = f"counts_{uuid.uuid4().hex}"
-    q = event_counts(stream, "at", "event_type", "1 hour").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("event_type", F.unix_micros("start").alias("start_us"), "n")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    source = spark.readStream.schema(schema)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        source = source.parquet(f"{sf_dir}/events.parquet")
+    else:
+        source = source.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = source.withColumn("at", F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")))
+    out, checkpoint = fresh_path(spark, "counts"), fresh_path(spark, "counts-checkpoint")
+    # each batch writes the windows it changed; the last state of a window counts
+    put = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/b={batch}")
+    event_counts(stream, "at", "event_type", "1 hour").writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    counts = spark.read.schema("start timestamp, end timestamp, event_type string, n long, batch long").parquet(out)
+    last = counts.groupBy("event_type", "start").agg(F.max_by("n", "batch").alias("n"))
+    return last.select("event_type", F.unix_micros("start").alias("start_us"), "n")

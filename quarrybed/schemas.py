@@ -21,7 +21,7 @@ WORKFLOW = {
     "context_frame": "intent_id string, run_id string, plan_id string, step_id string, kind string, summary string, data string, token_estimate long",
 }
 VARIANT_FIELDS = {"intent": ("spec",), "run_event": ("metrics",), "tool_invocation": ("args",), "context_frame": ("data",), "provenance": ("parameters",), "plan_step_event": ("outputs",)}
-#: (child table, column, parent table): edges of the workflow graph.
+#: (child table, column, parent): edges of the workflow graph. A column may be an array of ids; a parent is a table's object_id or a nested column of it.
 FOREIGN_KEYS = (
     ("plan", "intent", "intent"), ("task", "intent", "intent"), ("task", "parent", "task"), ("run", "task", "task"), ("run", "plan", "plan"),
     ("run", "snapshot", "context_snapshot"), ("patch_set", "run", "run"), ("provenance", "run_id", "run"), ("intent_event", "intent_id", "intent"),
@@ -30,4 +30,6 @@ FOREIGN_KEYS = (
     ("plan_step_event", "spawned_task_id", "task"), ("run_usage", "run_id", "run"), ("tool_invocation", "run_id", "run"), ("evidence", "run_id", "run"),
     ("evidence", "patchset_id", "patch_set"), ("decision", "run_id", "run"), ("decision", "chosen_patchset_id", "patch_set"),
     ("context_frame", "intent_id", "intent"), ("context_frame", "run_id", "run"), ("context_frame", "plan_id", "plan"),
+    ("intent", "parents", "intent"), ("intent", "analysis_context_frames", "context_frame"), ("plan", "parents", "plan"), ("plan", "context_frames", "context_frame"),
+    ("task", "dependencies", "task"), ("task", "origin_step_id", "plan.steps.step_id"), ("plan_step_event", "step_id", "plan.steps.step_id"), ("context_frame", "step_id", "plan.steps.step_id"),
 )

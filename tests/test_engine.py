@@ -224,7 +224,7 @@ def test_functions(spark):
     assert (row["none"], row["kind"], row["under"], row["not_under"]) == ("0000000", "sha256", True, False)
     assert (row["both_empty"], row["same"], row["one_empty"], row["stepped"]) == (1, 1, 0, 1)
     assert row["h1"] == row["h2"] and len(row["h1"]) == 64
-    assert row["caps"] == {"side-band-64k": "", "agent": "x/1", "ofs-delta": ""} and (row["other"], row["mode"], row["stage"]) == ("zz", "executable", 2)
+    assert [tuple(c) for c in row["caps"]] == [("side-band-64k", "", True), ("agent", "x/1", True), ("ofs-delta", "", True)] and (row["other"], row["mode"], row["stage"]) == ("zz", "executable", 2)
     assert (row["ssh"]["service"], row["ssh"]["path"], row["service"]) == ("upload", "/a/b", "receive")
     names = ["abc.txt", "dir/x y", "ü"]
     want = []
