@@ -81,6 +81,18 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+#: Windows of 100 bytes, as hex; those that are not the first of their kind join to spans, and the rest is put together.
+OP2_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM d WHERE length(h) >= 200)),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS nth FROM w),
+g AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, true) AS new FROM f WHERE nth > 1),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS z FROM (SELECT doc_id, p, sum(new::INTEGER) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g) GROUP BY doc_id, run),
+e AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+c AS (SELECT e.doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS rest FROM e JOIN d USING (doc_id) GROUP BY e.doc_id)
+SELECT d.doc_id, strlen(d.text)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, CASE WHEN n_removed IS NULL THEN sha256(d.text) ELSE sha256(unhex(rest)) END AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)
+"""
+
 OP6_SQL = """
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -113,4 +125,4 @@ WHERE NOT EXISTS (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_url_filter": OP6_SQL, "op8_chat": OP8_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_suffix_dedup": OP2_SQL, "op6_url_filter": OP6_SQL, "op8_chat": OP8_SQL}
