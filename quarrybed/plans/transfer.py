@@ -153,30 +153,64 @@ class Push:
     report: bytes
 
 
+REQUEST = "path string, line string, error string"
+
+
+def parse_requests(requests: DataFrame, hash_kind: str = "sha1") -> DataFrame:
+    """Pushes (path, content) taken apart in tasks: rows with a command line, an entry of the pack, or the error of a damaged one."""
+    from ..sources import formats
+    from ..sources.readers import ENTRIES, ENTRY_ARROW, pack_batches
+
+    head = [pa.field(n, pa.string()) for n in ("path", "line", "error")]
+    schema = pa.schema([*head, *ENTRY_ARROW])
+
+    def texts(path, lines, errors):
+        n = len(lines)
+        return pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(lines, pa.string()), pa.array(errors, pa.string()), *(pa.nulls(n, f.type) for f in ENTRY_ARROW)], schema=schema)
+
+    def run(batches):
+        for b in batches:
+            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                packets, at = read_packets(data)
+                lines = [p.decode("utf-8", "replace") for p in packets[: packets.index(None) if None in packets else len(packets)]]
+                yield texts(path, lines, [None] * len(lines))
+                try:
+                    for e in pack_batches(path, data[at:], hash_kind) if at < len(data) else ():
+                        none = pa.nulls(len(e), pa.string())
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * len(e), pa.string()), none, none, *e.columns], schema=schema)
+                except formats.CodecError as e:
+                    yield texts(path, [None], [str(e)])
+
+    return requests.select("path", "content").mapInArrow(run, f"{REQUEST}, {ENTRIES}")
+
+
 def receive(spark: SparkSession, request: bytes, refs: DataFrame, objects: DataFrame, hash_kind: str = "sha1") -> Push:
-    """Take a push: update commands up to a flush, then a pack, whose deltas may build on ``objects`` (oid, obj_type, data).
+    """Take a push: update commands up to a flush, then a pack, whose deltas may build on ``objects`` (oid, obj_type, data)."""
+    rows = parse_requests(spark.createDataFrame([("push", bytearray(request))], "path string, content binary"), hash_kind)
+    return take(rows, refs, objects, hash_kind)
+
+
+def take(rows: DataFrame, refs: DataFrame, objects: DataFrame, hash_kind: str = "sha1") -> Push:
+    """Take a push that ``parse_requests`` took apart.
 
     A pack that is damaged, or has a delta without a base, fails all commands and adds
-    nothing. The pack of one request is parsed by the driver; its objects are rebuilt in tasks.
+    nothing. Only the damage and the report reach the driver.
     """
     from ..operators.chains import rebuild
-    from ..sources import formats
-    from ..sources.readers import ENTRIES, ENTRY_ARROW, pack_batches
+    from ..sources.readers import ENTRY_ARROW
     from ..storage import written
 
-    packets, at = read_packets(request)
-    lines = [p.decode("utf-8", "replace") for p in packets[: packets.index(None) if None in packets else len(packets)]]
-    commands = written(parse_commands(spark.createDataFrame([(x,) for x in lines], "line string")), "commands")
-    batches, problem = [], "ok"
-    try:
-        batches = list(pack_batches("push", request[at:], hash_kind)) if at < len(request) else []
-    except formats.CodecError as e:
-        problem = str(e)
-    entries = spark.createDataFrame(pa.Table.from_batches(batches, ENTRY_ARROW), ENTRIES)
+    rows = written(rows, "request")
+    commands = written(parse_commands(rows.where("line IS NOT NULL")), "commands")
+    damage = rows.where("error IS NOT NULL").select("error").first()
+    problem = damage["error"] if damage else "ok"
+    entries = rows.where("offset IS NOT NULL").select(*ENTRY_ARROW.names)
+    if damage:
+        entries = entries.limit(0)
     wanted = entries.where("base_oid IS NOT NULL").select(F.col("base_oid").alias("oid")).distinct()
     known = objects.join(wanted, "oid", "left_semi").select("oid", "obj_type", "data")
     made = written(rebuild(entries, hash_kind, known).where("pack_id IS NOT NULL"), "made")
-    if problem == "ok" and made.count() < sum(map(len, batches)):
+    if problem == "ok" and made.count() < entries.count():
         problem = "a delta's base is missing"
     new = made.dropDuplicates(["oid"]).join(objects.select("oid"), "oid", "left_anti")
     if problem != "ok":
