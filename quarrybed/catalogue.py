@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from .plans import queries, store_queries  # noqa: F401  registers them
+    from .plans import column_queries, queries, store_queries  # noqa: F401  registers them
 
 
 def queries() -> dict[str, Query]:

@@ -392,6 +392,12 @@ def _pairs(f):
     return run
 
 
+@F.pandas_udf(T.LongType())
+def first_print_udf(data: pd.Series) -> pd.Series:
+    """Fingerprint of the first window; null for what is shorter."""
+    return pd.Series([fingerprint(bytes(x[:WIDTH])) if x is not None and len(x) >= WIDTH else None for x in data], dtype="Int64")
+
+
 def _single(f):
     def run(a: pd.Series) -> pd.Series:
         def one(x):
