@@ -292,11 +292,10 @@ def large_file_marker(spark, sf_dir):
     WITH h AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN left(hex(encode(text)), 2 * (doc_id % 50)) || CASE doc_id % 9 WHEN 0 THEN '80' WHEN 3 THEN 'C0AF' ELSE 'EDA080' END ELSE hex(encode(text)) END AS h FROM documents)
     SELECT doc_id, doc_id % 3 = 0 AS is_binary FROM h""")
 def utf8_check(spark, sf_dir):
-    """Texts, a third of them with bytes that no UTF-8 has."""
-    k = F.col("doc_id")
+    """Texts (null: empty), a third of them with bytes that no UTF-8 has, behind whole characters: after the first byte of a cut one, 80 could end it."""
+    k, t = F.col("doc_id"), F.coalesce("text", F.lit(""))
     wrong = F.unhex(F.when(k % 9 == 0, "80").when(k % 9 == 3, "C0AF").otherwise("EDA080"))
-    data = F.col("text").cast("binary")
-    broken = F.when(k % 3 == 0, F.concat(F.substring(data, F.lit(1), (k % 50).cast("int")), wrong)).otherwise(data)
+    broken = F.when(k % 3 == 0, F.concat(F.substring(t, F.lit(1), (k % 50).cast("int")).cast("binary"), wrong)).otherwise(t.cast("binary"))
     return table(spark, sf_dir, "documents").select("doc_id", text.is_binary(broken, F.lit("").cast("binary")).alias("is_binary"))
 
 

@@ -360,3 +360,13 @@ def test_write_pack_of_copies_under_many_paths(spark, tmp_path):
     writers.write_pack(objects, str(tmp_path), window=0, group=8)
     got = readers.read_packs(spark, str(tmp_path)).collect()
     assert len(got) == 150 and {oid(bytes(r["payload"])) for r in got} == {r[0] for r in rows}
+
+
+def test_utf8_check_of_cut_characters_and_nulls(spark, tmp_path):
+    """Bytes behind half a character, which 80 would end, and behind no text."""
+    from quarrybed import catalogue
+
+    rows = [(k, "é" * 60) for k in range(90, 180)] + [(k, None) for k in range(180, 190)] + [(k, "") for k in range(190, 200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.queries()["utf8_check"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(k, k % 3 == 0) for k in range(90, 200)]
