@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +23,36 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return near.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def smallest_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of a graph but the smallest of each component, and that smallest one for each."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b, label = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while (apart := label[a] != label[b]).any():
+        a, b = a[apart], b[apart]
+        x, y = label[a], label[b]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (far := label[label] != label).any():
+            label[far] = label[label[far]]
+    own = label == np.arange(len(nodes))
+    return nodes[~own], nodes[label[~own]]
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, small: int = 0) -> DataFrame:
     """Columns u, v of longs -> (node, component), component being the smallest node reachable.
 
     Nodes without an edge to another node are left out. Each round is written to the shared
-    folder, so a lost executor costs at most one round; no links reach the driver.
+    folder, so a lost executor costs at most one round; no links reach the driver. A graph of
+    at most ``small`` edges is one task's, as its rounds would be jobs of hardly any rows.
     """
     edges = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    if 0 < small >= edges.count():
+
+        def run(batches):
+            found = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in smallest_reachable(*(np.concatenate(x) for x in zip(*found)))], ["node", "component"])
+
+        return written(edges.coalesce(1).mapInArrow(run, "node long, component long"), "components")
     state = None
     for _ in range(max_rounds):
         if edges.isEmpty():

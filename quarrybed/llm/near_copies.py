@@ -1,8 +1,10 @@
-"""Near copies of a corpus: SimHash finds candidates, the exact Jaccard similarity of shingles decides."""
+"""Near copies of a corpus: SimHash finds candidates, the exact Jaccard similarity of shingles decides.
 
-from __future__ import annotations
+Candidates are found as in ``simhash``: points of the popcount embedding meet in the cells of
+its grid, by the Manhattan bound, then by the exact distance of their fingerprints.
+"""
 
-from itertools import combinations
+from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +14,16 @@ from pyspark.sql import functions as F
 
 from .common import hot_join, partitions, small_batches, text_or_empty, written
 from .components import connected_components
-from .simhash import _blocks, fingerprint
+from .simhash import fingerprint, grid_cells, ordered_bits
+from .suffix_dedup import _mix
 
 WORDS, RADIUS, SIMILAR = 5, 14, (4, 5)
 #: Pairs that a point yields in a cell at first, the nearest ones; the others follow where they can still connect something.
 FIRST = 2
-#: 64-bit words of a sketch.
-MARKS = 8
+#: 64-bit words of a sketch, pairs of points that are compared at once.
+MARKS, HELD_PAIRS = 8, 1 << 18
+#: Links up to which the components are one task's.
+ONE_TASK = 1 << 19
 
 
 def shingles(text: str | None, words: int = WORDS) -> set[bytes]:
@@ -39,40 +44,49 @@ def sketch(found: set[bytes]) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def spare_blocks(points: int, radius: int = RADIUS, fill: int = 4096) -> int:
-    """Blocks on which a cell agrees, so that cells of so many points hold about ``fill`` on average. Every choice is exact."""
-    spare = 2
-    while spare < 8 and points > fill * 2 ** (64 * spare / (radius + spare)):
+def size_bands(size: np.ndarray) -> np.ndarray:
+    """Bands of shingle counts: counts that allow the similarity are in one band or in neighbouring ones."""
+    edges, top = [1], int(size.max(initial=0))
+    while edges[-1] <= top:
+        edges.append(edges[-1] * SIMILAR[1] // SIMILAR[0] + 1)
+    return np.searchsorted(edges, size, "right")
+
+
+def spare_blocks(points: int, radius: int = RADIUS, fill: int = 1 << 20) -> int:
+    """Blocks of counts on which a cell agrees, so that cells of so many points hold about ``fill`` on average before bands part them. Every choice is exact."""
+    spare = 1
+    while spare < 8 and points > fill * 2 ** (48 * spare / (radius + spare)):
         spare += 1
     return spare
 
 
-def bit_cells(fps: np.ndarray, radius: int, spare: int) -> list[np.ndarray]:
-    """Cells of a fingerprint, one for each choice of ``spare`` of ``radius + spare`` blocks of bits: pairs within the radius meet."""
-    out = []
-    for k, chosen in enumerate(combinations(_blocks(radius + spare), spare)):
-        x = fps.view(np.uint64) & np.bitwise_or.reduce(np.array(chosen, np.uint64))
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-        out.append((x ^ (x >> np.uint64(29))).view(np.int64))
-    return out
+#: Cells of a fingerprint: those of the popcount embedding.
+bit_cells = grid_cells
+
+
+def band_cells(fps: np.ndarray, size: np.ndarray, radius: int, spare: int) -> list[np.ndarray]:
+    """The cells of the embedding in a point's own band and in the next one: pairs within the radius whose counts allow the similarity meet."""
+    band = size_bands(size)
+    return [_mix(c.view(np.uint64) + _mix((band + step).astype(np.uint64) + np.uint64(1))).view(np.int64) for c in bit_cells(fps, radius, spare) for step in (0, 1)]
 
 
 def cell_pairs(fp: np.ndarray, node: np.ndarray, size: np.ndarray, label: np.ndarray | None, marks: np.ndarray | None, radius: int, nearest: bool = True):
     """(u, v) of one cell, nodes ascending: points within the radius whose shingle counts allow the similarity.
 
+    The Manhattan distance of the embedded points, which bounds that of the fingerprints, comes first.
     Without labels each point is paired with the FIRST of those before it whose fingerprints
     are nearest; if it has more, it and all of them are paired with themselves. With labels it
     is paired with those before it that have another label and whose sketch (a row of marks)
     is not too far from its own: the ``nearest`` one by sketch, or all.
     """
-    raw = fp.view(np.uint64)
-    for i in range(0, len(fp), 256):
-        j = min(i + 256, len(fp))
-        apart = np.bitwise_count(raw[i:j, None] ^ raw[None, :j])
-        rows, cols = np.nonzero(apart <= radius)
-        far, rows = apart[rows, cols].astype(np.int64), rows + i
-        good = (cols < rows) & (SIMILAR[1] * np.minimum(size[rows], size[cols]) >= SIMILAR[0] * np.maximum(size[rows], size[cols]))
+    raw, low = fp.view(np.uint64), ordered_bits(fp)
+    step = max(1, min(256, HELD_PAIRS // max(1, len(fp))))
+    for i in range(0, len(fp), step):
+        j = min(i + step, len(fp))
+        near = np.flatnonzero(np.bitwise_count(low[i:j, None] ^ low[None, :j]).ravel() <= radius)
+        rows, cols = near // j + i, near % j
+        far = np.bitwise_count(raw[rows] ^ raw[cols]).astype(np.int64)
+        good = (cols < rows) & (far <= radius) & (SIMILAR[1] * np.minimum(size[rows], size[cols]) >= SIMILAR[0] * np.maximum(size[rows], size[cols]))
         if label is not None:
             good &= label[rows] != label[cols]
         rows, cols, far = rows[good], cols[good], far[good]
@@ -98,7 +112,7 @@ def _candidates(points: DataFrame, labelled: bool, radius: int, spare: int, near
 
     def file(batches):
         for b in batches:
-            cells = bit_cells(b.column(1).to_numpy(zero_copy_only=False), radius, spare)
+            cells = band_cells(b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False), radius, spare)
             for c in cells:
                 yield pa.RecordBatch.from_arrays([pa.array(c), *b.columns], ["cell", *names])
 
@@ -175,7 +189,7 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = written(_candidates(points, False, radius, spare), "near-pairs")
     tried = pairs.where("u != v")
     links = written(_verified(tried, texts, words), "near-links")
-    parts = connected_components(links)
+    parts = connected_components(links, small=ONE_TASK)
     dense = pairs.where("u = v").select(F.col("u").alias("node"))
     if not dense.isEmpty():
 
@@ -191,7 +205,7 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if not more.isEmpty():
                 tried = tried.unionByName(more)
                 links = links.unionByName(written(_verified(more, texts, words), "near-links"))
-                parts = connected_components(links)
+                parts = connected_components(links, small=ONE_TASK)
     parts = parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct())  # components come without their smallest node
     named = written(rows.select("near_node", F.col(id_col).alias("id")).join(parts, F.col("near_node") == parts.node).drop("node"), "near-named")
     best = named.groupBy(F.col("component").alias("part")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "near_node")).alias("best"), F.count(F.lit(1)).alias("size"))

@@ -96,6 +96,13 @@ def _manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def ordered_bits(fps: np.ndarray) -> np.ndarray:
+    """The embedding in unary: a segment's set bits moved to its low end, so that counts are as many bits apart as their Manhattan distance."""
+    x, odd = fps.view(np.uint64), np.uint64(0x5555555555555555)
+    low, high = x & odd, (x >> np.uint64(1)) & odd
+    return low | high | ((low & high) << np.uint64(1))
+
+
 def _links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """A spanning forest of one cell's links: points within the radius, by the lower bound first.
 

@@ -96,3 +96,37 @@ def test_the_nearest_by_sketch_come_before_all():
     pairs = [(u, v) for us, vs in near_copies.cell_pairs(fp, node, size, node, marks, 14) for u, v in zip(us.tolist(), vs.tolist())]
     far = lambda u, v: bin(int(marks[u, 0]) ^ int(marks[v, 0])).count("1")
     assert sorted(v for _, v in pairs) == list(range(1, 300)) and all(far(u, v) == min(far(k, v) for k in range(v)) for u, v in pairs)
+
+
+def test_candidates_come_from_the_popcount_embedding(monkeypatch):
+    """Cells are the operator's, in bands of counts, and its Manhattan bound stands before the exact distance."""
+    from quarrybed.llm import simhash
+
+    r = np.random.default_rng(9)
+    a, b = (r.integers(-(2**63), 2**63 - 1, 400) for _ in range(2))
+    b[:200] = a[:200] ^ np.array([sum(1 << int(k) for k in r.choice(64, r.integers(0, 15), replace=False)) for _ in range(200)], np.uint64).view(np.int64)
+    embedded = np.bitwise_count(simhash.ordered_bits(a) ^ simhash.ordered_bits(b))
+    assert (embedded == simhash._manhattan(simhash._popcounts(a), simhash._popcounts(b))).all() and (embedded < np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64))).any()
+    size = r.integers(0, 3000, 400)
+    other = np.array([r.integers(-(-4 * s // 5), 5 * s // 4 + 1) for s in size.tolist()])
+    swapped = a ^ ((a ^ (a >> 1)) & 0x5555555555555555) * 3  # the bits of each segment change places: the embedding is the same
+    for spare in (1, 2, 3):
+        cells = near_copies.band_cells(a, size, 14, spare)
+        for fps, sizes in ((b, other), (swapped, size)):
+            own = fps is b and np.arange(400) < 200
+            met = [set(x) & set(y) for x, y in zip(np.stack(cells, 1).tolist(), np.stack(near_copies.band_cells(fps, sizes, 14, spare), 1).tolist())]
+            assert all(met[k] for k in range(400) if fps is swapped or own[k])
+    used = []
+    monkeypatch.setattr(near_copies, "ordered_bits", lambda x: used.append(len(x)) or simhash.ordered_bits(x))
+    assert [(u.tolist(), v.tolist()) for u, v in near_copies.cell_pairs(np.array([5, 6]), np.array([1, 2]), np.array([9, 9]), None, None, 14)] == [([1], [2])] and used == [2]
+
+
+def test_components_of_small_graphs_are_those_of_large_ones(spark):
+    from quarrybed.llm.components import connected_components
+
+    r = random.Random(10)
+    edges = [(r.randrange(-500, 500), r.randrange(-500, 500)) for _ in range(400)] + [(k, k + 1) for k in r.sample(range(1000, 1300), 300)] + [(7, 7), (3000, 3000)]
+    for part in (edges, edges[-2:], []):
+        df = spark.createDataFrame(part, "u long, v long").repartition(5)
+        one, many = (sorted(map(tuple, connected_components(df, small=n).collect())) for n in (1 << 19, 0))
+        assert one == many and (not part or part is not edges or len(one) > 400)
