@@ -44,7 +44,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, small: int = 0)
     folder, so a lost executor costs at most one round; no links reach the driver. A graph of
     at most ``small`` edges is one task's, as its rounds would be jobs of hardly any rows.
     """
-    edges = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     if 0 < small >= edges.count():
 
         def run(batches):
@@ -52,7 +51,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, small: int = 0)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in smallest_reachable(*(np.concatenate(x) for x in zip(*found)))], ["node", "component"])
 
-        return written(edges.coalesce(1).mapInArrow(run, "node long, component long"), "components")
+        return written(edges.select("u", "v").coalesce(1).mapInArrow(run, "node long, component long"), "components")
+    edges = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     for _ in range(max_rounds):
         if edges.isEmpty():

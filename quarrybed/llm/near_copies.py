@@ -24,6 +24,8 @@ FIRST = 2
 MARKS, HELD_PAIRS = 8, 1 << 18
 #: Links up to which the components are one task's.
 ONE_TASK = 1 << 19
+#: Points for which a table without texts gets a file.
+NARROW = 10_000
 
 
 def shingles(text: str | None, words: int = WORDS) -> set[bytes]:
@@ -185,8 +187,11 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array(sizes)], ["node", "fp", "size"])
 
     points = written(texts.mapInArrow(run, "node long, fp long, size long"), "near-points")
-    spare = spare_blocks(points.count(), radius)
-    pairs = written(_candidates(points, False, radius, spare), "near-pairs")
+    n = points.count()
+    spare = spare_blocks(n, radius)
+    # narrow tables of so many points, in no more files than that takes: each is a task, and on local disks three processes
+    narrow = lambda df, name: written(df.coalesce(max(spark.sparkContext.defaultParallelism, n // NARROW)), name)
+    pairs = narrow(_candidates(points, False, radius, spare), "near-pairs")
     tried = pairs.where("u != v")
     links = written(_verified(tried, texts, words), "near-links")
     parts = connected_components(links, small=ONE_TASK)
@@ -198,16 +203,16 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 marks = np.array([sketch(shingles(t, words)) for t in b.column(1).to_pylist()], np.int64).reshape(-1, MARKS)
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(m)) for m in marks.T)], ["node", *(f"m{k}" for k in range(MARKS))])
 
-        marked = written(texts.join(dense, "node", "left_semi").mapInArrow(mark, "node long, " + ", ".join(f"m{k} long" for k in range(MARKS))).join(points, "node"), "near-marks")
+        marked = narrow(texts.join(dense, "node", "left_semi").mapInArrow(mark, "node long, " + ", ".join(f"m{k} long" for k in range(MARKS))).join(points, "node"), "near-marks")
         for nearest in (True, False):  # the nearest of what is apart, which joins most; then all that still is
-            labelled = written(marked.join(parts, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "near-dense")
-            more = written(_candidates(labelled, True, radius, spare, nearest).join(tried, ["u", "v"], "left_anti"), "near-pairs")
+            labelled = narrow(marked.join(parts, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "near-dense")
+            more = narrow(_candidates(labelled, True, radius, spare, nearest).join(tried, ["u", "v"], "left_anti"), "near-pairs")
             if not more.isEmpty():
                 tried = tried.unionByName(more)
-                links = links.unionByName(written(_verified(more, texts, words), "near-links"))
+                links = links.unionByName(narrow(_verified(more, texts, words), "near-links"))
                 parts = connected_components(links, small=ONE_TASK)
     parts = parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct())  # components come without their smallest node
-    named = written(rows.select("near_node", F.col(id_col).alias("id")).join(parts, F.col("near_node") == parts.node).drop("node"), "near-named")
+    named = narrow(rows.select("near_node", F.col(id_col).alias("id")).join(parts, F.col("near_node") == parts.node).drop("node"), "near-named")
     best = named.groupBy(F.col("component").alias("part")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "near_node")).alias("best"), F.count(F.lit(1)).alias("size"))
-    gone = hot_join(named, written(best, "near-best"), [("component", "part")], "size", named.count()).where("near_node != best.near_node").select("near_node")
+    gone = hot_join(named, narrow(best, "near-best"), [("component", "part")], "size", named.count()).where("near_node != best.near_node").select("near_node")
     return rows.join(gone, "near_node", "left_anti").select(*docs.columns)
