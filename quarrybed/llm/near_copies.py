@@ -6,6 +6,8 @@ its grid, by the Manhattan bound, then by the exact distance of their fingerprin
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import hot_join, partitions, small_batches, text_or_empty, written
 from .components import connected_components
-from .simhash import fingerprint, grid_cells, ordered_bits
+from .simhash import _blocks, fingerprint, grid_cells, ordered_bits
 from .suffix_dedup import _mix
 
 WORDS, RADIUS, SIMILAR = 5, 14, (4, 5)
@@ -72,10 +74,29 @@ def band_cells(fps: np.ndarray, size: np.ndarray, radius: int, spare: int) -> li
     return [_mix(c.view(np.uint64) + _mix((band + step).astype(np.uint64) + np.uint64(1))).view(np.int64) for c in bit_cells(fps, radius, spare) for step in (0, 1)]
 
 
-def cell_pairs(fp: np.ndarray, node: np.ndarray, size: np.ndarray, label: np.ndarray | None, marks: np.ndarray | None, radius: int, nearest: bool = True):
+def first_met(cell: np.ndarray, fps: np.ndarray, size: np.ndarray, radius: int, spare: int) -> list:
+    """For each cell, of which a point is given: the test for pairs that meet in it and in no cell before, so that a pair is one cell's."""
+    masks = [np.bitwise_or.reduce(np.array(chosen, np.uint64)) for chosen in combinations(_blocks(radius + spare), spare)]
+    kind = (np.stack(band_cells(fps, size, radius, spare)) == cell).argmax(axis=0)
+    band = size_bands(size) + kind % 2
+
+    def test(k: int, own: int):
+        def only(apart, larger):
+            good = size_bands(larger) == own
+            for mask in masks[:k]:
+                good &= (apart & mask) != 0
+            return good
+
+        return only
+
+    return [test(k, own) for k, own in zip((kind // 2).tolist(), band.tolist())]
+
+
+def cell_pairs(fp: np.ndarray, node: np.ndarray, size: np.ndarray, label: np.ndarray | None, marks: np.ndarray | None, radius: int, nearest: bool = True, only=None):
     """(u, v) of one cell, nodes ascending: points within the radius whose shingle counts allow the similarity.
 
     The Manhattan distance of the embedded points, which bounds that of the fingerprints, comes first.
+    ``only`` (embedded points apart, larger count -> booleans) tells the pairs that are this cell's.
     Without labels each point is paired with the FIRST of those before it whose fingerprints
     are nearest; if it has more, it and all of them are paired with themselves. With labels it
     is paired with those before it that have another label and whose sketch (a row of marks)
@@ -89,6 +110,8 @@ def cell_pairs(fp: np.ndarray, node: np.ndarray, size: np.ndarray, label: np.nda
         rows, cols = near // j + i, near % j
         far = np.bitwise_count(raw[rows] ^ raw[cols]).astype(np.int64)
         good = (cols < rows) & (far <= radius) & (SIMILAR[1] * np.minimum(size[rows], size[cols]) >= SIMILAR[0] * np.maximum(size[rows], size[cols]))
+        if only is not None:
+            good[good] = only(low[rows[good]] ^ low[cols[good]], np.maximum(size[rows[good]], size[cols[good]]))
         if label is not None:
             good &= label[rows] != label[cols]
         rows, cols, far = rows[good], cols[good], far[good]
@@ -131,9 +154,11 @@ def _candidates(points: DataFrame, labelled: bool, radius: int, spare: int, near
 
     def of(now, cuts):
         us, vs, n = [], [], 0
-        for a, z in zip(cuts[:-1], cuts[1:]):
+        some = np.flatnonzero(np.diff(cuts) > 1)
+        at = cuts[some]
+        for a, z, only in zip(at, cuts[some + 1], first_met(now[0][at], now[2][at], now[3][at], radius, spare)):
             if z - a > 1:
-                for u, v in cell_pairs(now[2][a:z], now[1][a:z], now[3][a:z], now[4][a:z] if labelled else None, np.stack([m[a:z] for m in now[5:]], axis=1) if labelled else None, radius, nearest):
+                for u, v in cell_pairs(now[2][a:z], now[1][a:z], now[3][a:z], now[4][a:z] if labelled else None, np.stack([m[a:z] for m in now[5:]], axis=1) if labelled else None, radius, nearest, only):
                     us.append(u)
                     vs.append(v)
                     n += len(u)

@@ -130,3 +130,17 @@ def test_components_of_small_graphs_are_those_of_large_ones(spark):
         df = spark.createDataFrame(part, "u long, v long").repartition(5)
         one, many = (sorted(map(tuple, connected_components(df, small=n).collect())) for n in (1 << 19, 0))
         assert one == many and (not part or part is not edges or len(one) > 400)
+
+
+def test_a_pair_is_one_cells():
+    r = np.random.default_rng(11)
+    a = r.integers(-(2**63), 2**63 - 1, 100)
+    fps = np.stack((a, a ^ np.array([sum(1 << int(k) for k in r.choice(64, r.integers(0, 15), replace=False)) for _ in a], np.uint64).view(np.int64)))
+    size = np.stack((s := r.integers(1, 3000, 100), s * 5 // 4))
+    for spare in (1, 2):
+        cells = [np.stack(near_copies.band_cells(fps[k], size[k], 14, spare)) for k in range(2)]
+        for k in range(100):
+            met = np.array(sorted(set(cells[0][:, k].tolist()) & set(cells[1][:, k].tolist())))
+            tests = near_copies.first_met(met, np.full(len(met), fps[0, k]), np.full(len(met), size[0, k]), 14, spare)
+            found = [len(u) for only in tests for u, _ in near_copies.cell_pairs(fps[:, k].copy(), np.arange(2), size[:, k].copy(), None, None, 14, only=only)]
+            assert sum(found) == 1 and len(met) >= 1
