@@ -42,9 +42,9 @@ def compression_totals(objects: DataFrame, raw: str, stored: str, by: str | None
     return out.withColumn("per_mille", F.when(F.col("raw_bytes") > 0, F.floor(F.col("stored_bytes") * 1000 / F.col("raw_bytes"))))
 
 
-def dependency_counts(entries: DataFrame, base: str) -> DataFrame:
-    """Entries that build on each base."""
-    return entries.where(F.col(base).isNotNull()).groupBy(base).agg(F.count(F.lit(1)).alias("users"))
+def dependency_counts(entries: DataFrame, base: str, *within: str) -> DataFrame:
+    """Entries that build on each base (of each pack, if ``within`` names its column)."""
+    return entries.where(F.col(base).isNotNull()).groupBy(*within, base).agg(F.count(F.lit(1)).alias("users"))
 
 
 def releasable(bases: DataFrame, key: str, users: DataFrame, done: DataFrame, base: str) -> DataFrame:

@@ -17,11 +17,11 @@ OID256 = "sha256('blob ' || strlen(text)::VARCHAR || chr(0) || text)"
 
 
 def _packed(spark, sf_dir, **options) -> str:
-    """The folder of a pack of all document texts."""
+    """The folder of packs of all document texts, each text in one of them."""
     blobs, folder = document_blobs(spark, sf_dir), fresh_path(spark, "packs")
     if options.get("hash_kind") == "sha256":
         blobs = blobs.withColumn("oid", identity.object_id("blob", "data", "sha256"))
-    writers.write_pack(blobs, folder, **options)
+    writers.write_packs(blobs, folder, **options)
     return folder
 
 
@@ -39,7 +39,7 @@ def pack_index(spark, sf_dir):
 
 @query("pack_sha256", f"SELECT DISTINCT {OID256} AS oid, strlen(text)::BIGINT AS size FROM documents")
 def pack_sha256(spark, sf_dir):
-    """A pack with SHA-256 ids and dictionary deltas, and its index."""
+    """Packs with SHA-256 ids and dictionary deltas, and their indexes."""
     folder = _packed(spark, sf_dir, hash_kind="sha256", dictionary=True)
     objects = chains.load(spark, folder, "sha256")
     return objects.join(readers.read_pack_indexes(spark, folder, "sha256").select("oid"), "oid").select("oid", "size")
@@ -69,16 +69,18 @@ def pack_scan(spark, sf_dir):
 
 @query("pack_check", "SELECT count(DISTINCT text) AS object_count, true AS sound FROM documents")
 def pack_check(spark, sf_dir):
+    """Objects of all packs by their headers, and whether each pack is whole."""
     checked = readers.check_packs(spark, _packed(spark, sf_dir))
-    return checked.select("object_count", (F.col("error").isNull() & (F.col("trailer") == F.col("computed"))).alias("sound"))
+    sound = F.col("error").isNull() & F.coalesce(F.col("trailer") == F.col("computed"), F.lit(False))
+    return checked.agg(F.coalesce(F.sum("object_count"), F.lit(0).cast("long")).alias("object_count"), F.coalesce(F.bool_and(sound), F.lit(True)).alias("sound"))
 
 
 @query("pack_users", "SELECT true AS all_known, count(DISTINCT text) AS objects FROM documents")
 def pack_users(spark, sf_dir):
-    """Users of the bases of a delta pack, by its headers: each base is an entry."""
+    """Users of the bases of delta packs, by their headers: each base is an entry of the same pack."""
     entries = readers.read_packs(spark, _packed(spark, sf_dir), payload=False)
-    users = aggregates.dependency_counts(entries, "base_offset")
-    lost = users.join(entries.select(F.col("offset").alias("base_offset")), "base_offset", "left_anti")
+    users = aggregates.dependency_counts(entries, "base_offset", "pack_id")
+    lost = users.join(entries.select("pack_id", F.col("offset").alias("base_offset")), ["pack_id", "base_offset"], "left_anti")
     return entries.agg(F.count(F.lit(1)).alias("objects")).join(lost.agg((F.count(F.lit(1)) == 0).alias("all_known")))
 
 
