@@ -63,7 +63,7 @@ def pack_ranges(spark, sf_dir):
 
 @query("pack_scan", "SELECT 0::BIGINT AS commits, 0::BIGINT AS trees, count(DISTINCT text) AS blobs, 0::BIGINT AS tags, 0::BIGINT AS deltas, count(DISTINCT text) AS total FROM documents")
 def pack_scan(spark, sf_dir):
-    """Statistics of a pack of whole objects, scanned without keeping payloads."""
+    """Statistics of packs of whole objects, scanned without keeping payloads."""
     return aggregates.pack_stats(readers.read_packs(spark, _packed(spark, sf_dir, window=0), payload=False))
 
 
