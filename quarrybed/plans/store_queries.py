@@ -30,7 +30,7 @@ def _packed(spark, sf_dir, **options) -> str:
 
 @query("pack_index", DISTINCT.replace("SELECT DISTINCT", "SELECT DISTINCT true AS same_id, true AS same_crc,"))
 def pack_index(spark, sf_dir):
-    """The index of a written pack against the pack: ids and checksums of the objects at its offsets."""
+    """The indexes of written packs against the packs: ids and checksums of the objects at their offsets."""
     folder = _packed(spark, sf_dir)
     index = readers.read_pack_indexes(spark, folder).select("pack_id", F.col("offset").alias("pack_offset"), F.col("oid").alias("listed"), F.col("crc32").alias("listed_crc"))
     both = chains.load(spark, folder).join(index, ["pack_id", "pack_offset"], "full_outer")
