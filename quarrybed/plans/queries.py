@@ -591,12 +591,12 @@ def chain_depths(spark, sf_dir):
 
 @query("pack_roundtrip", f"SELECT DISTINCT {OID} AS oid, 'blob' AS obj_type, strlen(text)::BIGINT AS size FROM documents")
 def pack_roundtrip(spark, sf_dir):
-    """Documents written as a delta pack, read again and rebuilt."""
+    """Documents written as delta packs, read again and rebuilt."""
     from ..sources import writers
 
     blobs = document_blobs(spark, sf_dir)
     folder = fresh_path(spark, "packs")
-    writers.write_pack(blobs, folder)
+    writers.write_packs(blobs, folder)
     return chains.load(spark, folder).select("oid", "obj_type", "size")
 
 
