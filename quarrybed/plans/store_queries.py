@@ -47,7 +47,7 @@ def pack_sha256(spark, sf_dir):
 
 @query("pack_ref_deltas", DISTINCT)
 def pack_ref_deltas(spark, sf_dir):
-    """A pack whose deltas name their bases by id, rebuilt by joins."""
+    """Packs whose deltas name their bases by id, rebuilt by joins."""
     return chains.rebuild(readers.read_packs(spark, _packed(spark, sf_dir, by_id=True))).select("oid", "size")
 
 
