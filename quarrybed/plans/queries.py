@@ -14,7 +14,7 @@ from ..catalogue import query
 from ..functions import codecs, labels, text
 from ..functions.identity import digest, object_id, payload_crc32, short_id
 from ..operators import aggregates, chains, events, graph, parse, snapshots, windows
-from ..storage import fresh_path, written
+from ..storage import fresh_path, small_batches, written
 from . import transfer
 
 
@@ -131,6 +131,7 @@ def delta_candidates(spark, sf_dir):
 
 def _with_texts(pairs, spark, sf_dir):
     """Pairs (target, base) with their texts t and b."""
+    small_batches(spark)
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pairs.join(d.select(F.col("doc_id").alias("target"), F.col("text").alias("t")), "target").join(d.select(F.col("doc_id").alias("base"), F.col("text").alias("b")), "base")
 
@@ -553,24 +554,24 @@ NEAREST = f"WITH r AS ({RANKED}) SELECT a.doc_id AS target, b.doc_id AS base, st
 @query("delta_roundtrip", NEAREST)
 def delta_roundtrip(spark, sf_dir):
     """Line deltas of every text against its nearest candidate, and whether they rebuild the text."""
-    return _roundtrip(spark, sf_dir, codecs.line_delta_udf, codecs.apply_delta_udf)
+    return _roundtrip(spark, sf_dir, codecs.encode_lines, codecs.apply_delta)
 
 
 @query("rabin_roundtrip", NEAREST)
 def rabin_roundtrip(spark, sf_dir):
     """Rabin deltas, likewise."""
-    return _roundtrip(spark, sf_dir, codecs.rabin_delta_udf, codecs.apply_delta_udf)
+    return _roundtrip(spark, sf_dir, codecs.encode_rabin, codecs.apply_delta)
 
 
 @query("zstd_roundtrip", NEAREST)
 def zstd_roundtrip(spark, sf_dir):
     """Dictionary deltas, likewise."""
-    return _roundtrip(spark, sf_dir, codecs.dictionary_delta_udf, codecs.apply_dictionary_delta_udf)
+    return _roundtrip(spark, sf_dir, codecs.dictionary_delta, codecs.apply_dictionary_delta)
 
 
 def _roundtrip(spark, sf_dir, encode, apply):
-    made = _nearest_texts(spark, sf_dir).withColumn("delta", encode("b", "t"))
-    return made.select("target", "base", F.octet_length("t").cast("long").alias("size"), apply("b", "delta").eqNullSafe(F.col("t")).alias("same"))
+    same = F.coalesce(codecs.rebuilds_udf(encode, apply)("b", "t"), F.col("t").isNull())
+    return _nearest_texts(spark, sf_dir).select("target", "base", F.octet_length("t").cast("long").alias("size"), same.alias("same"))
 
 
 @query("delta_sizes")

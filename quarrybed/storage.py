@@ -10,6 +10,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: list = []
+#: Bytes of an Arrow batch of texts or packs: Python holds a batch several times over, as buffers and as objects.
+BATCH_BYTES = 1 << 22
+
+
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bound the bytes of an Arrow batch in the session that runs it; a longer row is a batch of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > most:
+        spark.conf.set(key, str(most))
 
 
 def shared_folder(spark: SparkSession) -> str:
