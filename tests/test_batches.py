@@ -42,7 +42,7 @@ def test_nearest_texts_come_in_batches_of_few_bytes(spark, long_texts, unbounded
     assert near.select(batch_bytes("b", "t").alias("n")).agg(F.max("n")).first()[0] <= LIMIT
 
 
-@pytest.mark.parametrize("query", ["zstd_roundtrip"])
+@pytest.mark.parametrize("query", ["zstd_roundtrip", "rabin_roundtrip", "delta_roundtrip"])
 def test_round_trips_take_one_worker(spark, query):
     """A delta is made and applied in one pass."""
     df = __spark_entry__.queries()[query](spark, "/root/testdata/sf0.001")
