@@ -14,7 +14,7 @@ from ..catalogue import query
 from ..functions import codecs, labels, text
 from ..functions.identity import digest, object_id, payload_crc32, short_id
 from ..operators import aggregates, chains, events, graph, parse, snapshots, windows
-from ..storage import fresh_path, small_batches, written
+from ..storage import BATCH_BYTES, fresh_path, small_batches, written
 from . import transfer
 
 
@@ -301,6 +301,7 @@ def utf8_check(spark, sf_dir):
 
 
 def _turn_pairs(spark, sf_dir):
+    small_batches(spark, BATCH_BYTES // 4)  # each line of a text becomes an object of its own
     c = table(spark, sf_dir, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
     pairs = c.select("conv_id", "turn", F.lag("text").over(w).alias("old"), F.col("text").alias("new")).where("old IS NOT NULL")
@@ -578,8 +579,8 @@ def _roundtrip(spark, sf_dir, encode, apply):
 def delta_sizes(spark, sf_dir):
     """Sizes of the three kinds of delta."""
     d = _nearest_texts(spark, sf_dir)
-    size = lambda f: F.octet_length(f("b", "t"))
-    return d.select("target", "base", size(codecs.line_delta_udf).alias("lines"), size(codecs.rabin_delta_udf).alias("rabin"), size(codecs.dictionary_delta_udf).alias("dictionary"))
+    size = lambda encode: codecs.delta_size_udf(encode)("b", "t")
+    return d.select("target", "base", size(codecs.encode_lines).alias("lines"), size(codecs.encode_rabin).alias("rabin"), size(codecs.dictionary_delta).alias("dictionary"))
 
 
 @query("chain_depths", """

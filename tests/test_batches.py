@@ -56,3 +56,10 @@ def test_rebuilds_udf_of_nulls_and_malformed_deltas(spark):
     assert got(codecs.encode_lines, codecs.apply_delta) == [True, None, None]
     assert got(lambda b, t: b"\1", codecs.apply_delta) == [None, None, None]
     assert got(lambda b, t: codecs.encode_lines(b, t + b"!"), codecs.apply_delta) == [False, None, None]
+
+
+def test_turns_come_in_batches_of_few_bytes(spark, long_texts, unbounded):
+    pairs = queries._turn_pairs(spark, long_texts)
+    assert pairs.select(batch_bytes("old", "new").alias("n")).agg(F.max("n")).first()[0] <= LIMIT // 4
+    rows = {r["path"]: r["old"] for r in queries.line_ops_applied(spark, long_texts).collect()}
+    assert len(rows) == 159 and rows["0/2"] == "1 " + "line of text\n" * 15_000 + "x"
