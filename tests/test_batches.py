@@ -9,7 +9,10 @@ from pyspark.sql import types as T
 
 import __spark_entry__
 from quarrybed.functions import codecs
+from quarrybed.operators import chains
 from quarrybed.plans import queries
+from quarrybed.sources import formats as fm
+from quarrybed.sources import readers
 
 KEY, LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch", 6 << 20
 
@@ -63,3 +66,18 @@ def test_turns_come_in_batches_of_few_bytes(spark, long_texts, unbounded):
     assert pairs.select(batch_bytes("old", "new").alias("n")).agg(F.max("n")).first()[0] <= LIMIT // 4
     rows = {r["path"]: r["old"] for r in queries.line_ops_applied(spark, long_texts).collect()}
     assert len(rows) == 159 and rows["0/2"] == "1 " + "line of text\n" * 15_000 + "x"
+
+
+def test_entries_and_bases_come_in_batches_of_few_bytes(spark, tmp_path, long_texts, unbounded):
+    """A pack's objects leave their task so, and reach the worker that applies deltas so."""
+    objects = queries.document_blobs(spark, long_texts).select("oid", "obj_type", "data")
+    readers.register(spark)
+    objects.repartition(1).write.format("packfile").mode("append").option("window", "1").save(f"{tmp_path}/packs")
+    with open(next(tmp_path.glob("packs/*.pack")), "rb") as f:
+        data = f.read()
+    whole = fm.pack_bytes([fm.encode_entry(fm.BLOB, bytes(r["data"])) for r in objects.limit(60).collect()])
+    assert max(b.column("payload").nbytes for b in readers.pack_batches("p", whole)) <= LIMIT
+    assert sum(b.num_rows for b in readers.pack_batches("p", data)) == 160
+    spark.conf.unset(KEY)
+    made = chains.rebuild(spark.read.format("packfile").load(f"{tmp_path}/packs"))
+    assert made.select(batch_bytes("data", "data").alias("n")).agg(F.max("n")).first()[0] <= 2 * LIMIT and made.where("is_delta").count() > 100
