@@ -81,3 +81,12 @@ def test_entries_and_bases_come_in_batches_of_few_bytes(spark, tmp_path, long_te
     spark.conf.unset(KEY)
     made = chains.rebuild(spark.read.format("packfile").load(f"{tmp_path}/packs"))
     assert made.select(batch_bytes("data", "data").alias("n")).agg(F.max("n")).first()[0] <= 2 * LIMIT and made.where("is_delta").count() > 100
+
+
+def test_sizes_leave_the_deltas_in_the_worker(spark):
+    df = spark.createDataFrame([(b"a\nb\n" * 50, b"a\nb\n" * 50 + b"c"), (b"", b""), (None, b"a")], "b binary, t binary")
+    for encode, udf in ((codecs.encode_lines, codecs.line_delta_udf), (codecs.encode_rabin, codecs.rabin_delta_udf), (codecs.dictionary_delta, codecs.dictionary_delta_udf)):
+        rows = df.select(codecs.delta_size_udf(encode)("b", "t").alias("n"), F.octet_length(udf("b", "t")).alias("m")).collect()
+        assert all(r["n"] == r["m"] for r in rows) and rows[2]["n"] is None
+    got = __spark_entry__.queries()["delta_sizes"](spark, "/root/testdata/sf0.001")
+    assert "octet_length(" not in got._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython")[0] and dict(got.dtypes)["rabin"] == "int"
